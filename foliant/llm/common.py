@@ -86,12 +86,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64."""
-    out = np.full(max(1, n), base, dtype=np.uint64)
-    out[0] = 1
-    np.multiply.accumulate(out, out=out)
-    return out
+    """1, base, base**2, ... modulo 2**64. A worker keeps the first few million of each base."""
+    out = _POWERS.get(base)
+    if out is None or len(out) < n:
+        out = np.full(max(1, n), base, dtype=np.uint64)
+        out[0] = 1
+        np.multiply.accumulate(out, out=out)
+        if n <= 2 * STEP_BYTES:
+            _POWERS[base] = out
+    return out[: max(1, n)]
 
 
 #: Odd multipliers of the polynomial hashes and their inverses modulo 2**64.
