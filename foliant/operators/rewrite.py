@@ -108,12 +108,16 @@ def pattern_rules(docs: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFram
 
 def pattern_counts(docs: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
     """(rule_no, n) over all documents, each counted as its turn came."""
-    text, counts = F.coalesce("text", F.lit("")), []
-    df = docs.select(text.alias("text"))
-    for k, (pattern, to) in enumerate(rules):
-        # a step of its own keeps each text and its count one expression apart
-        df = df.withColumn(f"n{k}", T.count(F.col("text"), pattern, True)).withColumn("text", T.sub(F.col("text"), pattern, T.java_replacement(to), True))
-        counts.append(F.struct(F.lit(k + 1).cast("long").alias("rule_no"), F.col(f"n{k}").alias("n")))
+    rules = list(rules)
+    df = docs.select(F.coalesce("text", F.lit("")).alias("t0"))
+    for first in range(0, len(rules), 15):  # a projection for every 15 rules; in it each refers to the text before
+        columns = [F.col(c) for c in df.columns if c[0] == "n"]
+        for k in range(first, min(first + 15, len(rules))):
+            pattern, to = rules[k]
+            columns.append(T.count(F.col(f"t{k}"), pattern, True).alias(f"n{k}"))
+            columns.append(T.sub(F.col(f"t{k}"), pattern, T.java_replacement(to), True).alias(f"t{k + 1}"))
+        df = df.select(*columns)
+    counts = [F.struct(F.lit(k + 1).cast("long").alias("rule_no"), F.col(f"n{k}").alias("n")) for k in range(len(rules))]
     out = df.select(F.explode(F.array(*counts)).alias("s")).groupBy("s.rule_no").agg(F.sum("s.n").alias("n"))
     return out.where("n > 0")
 
