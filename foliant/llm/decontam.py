@@ -9,6 +9,7 @@ masks are joined, and around each hit the words are compared one by one, so ever
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -196,13 +197,25 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, part_words: int = BROAD
     """
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     id_type, item_type = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (items, "item_id")))
-    words = items.agg(F.sum(F.size(F.split("text", "[^\\p{L}\\p{N}]+")).cast("long"))).first()[0] or 0
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """With a digest of the item's words and their number."""
+        for batch in batches:
+            hashes, bounds = word_hashes(batch.column("text"))
+            own = [hashes[a:b] for a, b in zip(bounds, bounds[1:])]
+            keys = pa.array([hashlib.sha256(w.tobytes()).hexdigest() for w in own], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys, pa.array([len(w) for w in own], pa.int64())], ["item_id", "text", "k", "n"])
+
+    first = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "text"))
+    items = items.mapInArrow(keyed, f"item_id {item_type}, text string, k string, n long").groupBy("k", "n").agg(first.alias("s"))
+    items = cut(items.select("k", "n", "s.item_id", "s.text"))
+    words = items.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-words // part_words))
     rows = docs.select("doc_id", "text")
     out = None
     for k in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64(F.lower("text")), F.lit(parts)) == k)
-        got = own.toArrow()
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == k)
+        got = own.select("item_id", "text").toArrow()
         known = Items(got.column("item_id").to_pylist(), got.column("text").to_pylist())
 
         def run(batches: Iterator[pa.RecordBatch], known: Items = known) -> Iterator[pa.RecordBatch]:
