@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from foliant.llm.common import steps
+from foliant.llm.common import steps, tidy
 
 #: The split pattern of this family of vocabularies (a fixed value of the format), with the common cases first: words,
 #: then other marks; an apostrophe alone may begin a contraction. {L}, {N} and {S} are letters, numbers and white space.
@@ -39,9 +39,9 @@ def _class(pattern: str) -> str:
 #: The same, faster, for texts of U+0000 to U+00FF.
 LATIN = re.compile(SPLIT.format(L=_class(r"\p{L}"), N=_class(r"\p{N}"), S=_class(r"\s")))
 #: Distinct words that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: UTF-8 bytes of text encoded at a time: the partition of the pair index.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -232,7 +232,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -256,4 +256,4 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

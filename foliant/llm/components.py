@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, tidy
 
 #: Links that one step of the local contraction holds at most.
 STEP_LINKS = 200_000
@@ -56,7 +56,7 @@ def contract(links: DataFrame) -> DataFrame:
         if size:
             yield from spend()
 
-    return links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
+    return links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, mix, spans_hash, steps, text_bytes
+from foliant.llm.common import cut, mix, spans_hash, steps, text_bytes, tidy
 
 WINDOW = 13
 SIMILARITY = 0.8
@@ -207,7 +207,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, part_words: int = BROAD
             yield pa.RecordBatch.from_arrays([*batch.columns, keys, pa.array([len(w) for w in own], pa.int64())], ["item_id", "text", "k", "n"])
 
     first = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "text"))
-    items = items.mapInArrow(keyed, f"item_id {item_type}, text string, k string, n long").groupBy("k", "n").agg(first.alias("s"))
+    items = items.mapInArrow(tidy(keyed), f"item_id {item_type}, text string, k string, n long").groupBy("k", "n").agg(first.alias("s"))
     items = cut(items.select("k", "n", "s.item_id", "s.text"))
     words = items.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-words // part_words))
@@ -227,7 +227,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, part_words: int = BROAD
                     longs = [pa.array([f[j] for f in found], pa.int64()) for j in (2, 3)]
                     yield pa.RecordBatch.from_arrays([ids, item, *longs], ["doc_id", "item_id", "covered", "best"])
 
-        found = rows.mapInArrow(run, f"doc_id {id_type}, item_id {item_type}, covered long, best long")
+        found = rows.mapInArrow(tidy(run), f"doc_id {id_type}, item_id {item_type}, covered long, best long")
         out = found if out is None else out.union(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("best").alias("best"))
 

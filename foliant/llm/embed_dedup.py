@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, table
+from foliant.llm.common import cut, table, tidy
 from foliant.llm.components import components, forest
 
 THRESHOLD = 0.98
@@ -185,7 +185,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
                     )
 
     label = rows.schema["label"].dataType.simpleString()
-    placed = classes.select("label", "dim", "c", "n", "embedding").mapInArrow(place, f"label {label}, dim int, c long, n long, embedding array<double>, cell long, own boolean")
+    placed = classes.select("label", "dim", "c", "n", "embedding").mapInArrow(tidy(place), f"label {label}, dim int, c long, n long, embedding array<double>, cell long, own boolean")
     placed = table(placed)
     sizes = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     sizes = sizes.select(F.col("label").alias("__l"), F.col("dim").alias("__d"), F.col("cell").alias("__c"), "tiles")

@@ -18,7 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from foliant.llm.common import steps
+from foliant.llm.common import steps, tidy
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "iban", "ssn", "account")
@@ -159,7 +159,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask(docs: DataFrame) -> DataFrame:
@@ -183,4 +183,4 @@ def mask(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts], ["doc_id", "text"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)

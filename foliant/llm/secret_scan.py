@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from foliant.llm.common import steps
+from foliant.llm.common import steps, tidy
 
 BASE = ("assign", "access", "hex")
 ORDER = {k: i for i, k in enumerate((*BASE, "cnn"))}
@@ -267,4 +267,4 @@ def find_secrets(docs: DataFrame, net: CharCNN | None = None) -> DataFrame:
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long, scores array<double>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long, scores array<double>")

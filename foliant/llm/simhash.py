@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import cut, steps, table
+from foliant.llm.common import cut, steps, table, tidy
 from foliant.llm.components import components, forest
 
 SHINGLE = 4
@@ -70,7 +70,7 @@ def with_fingerprint(docs: DataFrame, columns: list[str], out: str = "__fp") ->
 
     rows = docs.select(*columns, F.col("text").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), f"{out} long"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -230,7 +230,7 @@ def near_links(fps: DataFrame, n: int, tile: int = TILE) -> DataFrame:
         if held:
             yield from spend(tuple(np.concatenate(c) for c in zip(*held)))
 
-    return keyed.repartition("__key").sortWithinPartitions("__key").mapInArrow(run, "a long, b long")
+    return keyed.repartition("__key").sortWithinPartitions("__key").mapInArrow(tidy(run), "a long, b long")
 
 
 def group_near(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import spans_hash, steps, table, text_bytes
+from foliant.llm.common import spans_hash, steps, table, text_bytes, tidy
 
 WINDOW = 50
 SEED = 16
@@ -117,7 +117,7 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, size: int = SEED) -> D
                 own, seed, _, _, stretch, _, _ = occurrences(part.column("text"), window, size)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(own)), _longs(seed), _longs(stretch)], ["doc_id", "seed", "stretch"])
 
-    found = rows.select("doc_id", "text").mapInArrow(seeds, f"doc_id {kind}, seed long, stretch long")
+    found = rows.select("doc_id", "text").mapInArrow(tidy(seeds), f"doc_id {kind}, seed long, stretch long")
     shared = table(
         found.groupBy("seed")
         .agg(F.min("doc_id").alias("low_id"), F.max("doc_id").alias("high_id"), F.min("stretch").alias("s"), F.max("stretch").alias("t"))
@@ -150,7 +150,7 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, size: int = SEED) -> D
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "__t", "seed", "sign", "low", "high"])
 
-    ranges = table(rows.select("doc_id", "__t", "text").mapInArrow(extend, f"doc_id {kind}, __t long, seed long, sign long, low long, high long"))
+    ranges = table(rows.select("doc_id", "__t", "text").mapInArrow(tidy(extend), f"doc_id {kind}, __t long, seed long, sign long, low long, high long"))
     whole = ranges.where("sign IS NULL").join(shared.where("alike").select(F.col("seed").alias("__s"), "low_id"), F.col("seed") == F.col("__s")).where("doc_id > low_id")
     single = ranges.where("sign IS NOT NULL")
     least = single.groupBy("seed", "sign").agg(F.min("doc_id").alias("low_id"), F.max("doc_id").alias("high_id")).where("low_id < high_id")
@@ -214,4 +214,4 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    return joined.mapInArrow(run, schema).union(rest.mapInArrow(run, schema))
+    return joined.mapInArrow(tidy(run), schema).union(rest.mapInArrow(tidy(run), schema))
