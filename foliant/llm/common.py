@@ -69,16 +69,18 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            _POWERS.clear()
-            pa.default_memory_pool().release_unused()
-            if _TRIM:
-                _TRIM(0)
+            release()
 
     return tidied
 
 
-#: Returns free memory to the system, where the C library can.
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+def release() -> None:
+    """Drops this worker's tables of powers and returns free memory to the system, where the C library can."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def lengths(column: pa.Array) -> np.ndarray:
