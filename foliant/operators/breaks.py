@@ -9,7 +9,6 @@ from foliant.functions import text as T
 from foliant.functions import vocab as V
 from foliant.operators.lines import join_pairs, split_lines, to_lines
 
-LINE, NEXT = F.col("line"), F.col("next")
 
 
 def _structural(x: Column) -> Column:
@@ -25,27 +24,27 @@ def _begins(x: Column, words: list[str]) -> Column:
 
 
 def _spaced() -> Column:
-    return F.concat(T.rstrip(LINE), F.lit(" "), T.lstrip(NEXT))
+    return F.concat(T.rstrip(F.col("line")), F.lit(" "), T.lstrip(F.col("next")))
 
 
 def join_broken_sentences(lines: DataFrame) -> DataFrame:
     """Lines that end unfinished, or whose next line (blank ones aside) goes on with the sentence, take it in."""
-    short = (T.word_count(LINE) <= 2) & ~T.strip(LINE).endswith(":") & (T.word_count(NEXT) > 2)
-    goes_on = _ends(LINE, V.UNFINISHED_ENDINGS) | T.has(LINE, r"-\s*$") | _begins(NEXT, V.CONTINUING_STARTS_1 + V.CONTINUING_STARTS_2) | short
-    return join_pairs(lines, ~_structural(LINE) & ~_structural(NEXT) & goes_on, _spaced(), "nonblank", drop_after_tail=True)
+    short = (T.word_count(F.col("line")) <= 2) & ~T.strip(F.col("line")).endswith(":") & (T.word_count(F.col("next")) > 2)
+    goes_on = _ends(F.col("line"), V.UNFINISHED_ENDINGS) | T.has(F.col("line"), r"-\s*$") | _begins(F.col("next"), V.CONTINUING_STARTS_1 + V.CONTINUING_STARTS_2) | short
+    return join_pairs(lines, ~_structural(F.col("line")) & ~_structural(F.col("next")) & goes_on, _spaced(), "nonblank", drop_after_tail=True)
 
 
 def join_hyphens(lines: DataFrame) -> DataFrame:
     """A line that ends with a hyphen takes in the next one, without a space; the hyphen stays."""
-    pred = T.has(LINE, r"-\s*$") & ~T.blank(NEXT) & ~T.starts_with(NEXT, "#", "**", "|")
-    return join_pairs(lines, pred, F.concat(T.rstrip(LINE), T.lstrip(NEXT)))
+    pred = T.has(F.col("line"), r"-\s*$") & ~T.blank(F.col("next")) & ~T.starts_with(F.col("next"), "#", "**", "|")
+    return join_pairs(lines, pred, F.concat(T.rstrip(F.col("line")), T.lstrip(F.col("next"))))
 
 
 def join_across_blanks(lines: DataFrame) -> DataFrame:
     """A sentence that blank lines have parted is joined."""
-    opened = ~T.has(LINE, r"[.!?:;]\s*$") & ~T.strip(LINE).endswith(",") & (T.word_count(LINE) > 3)
-    goes_on = T.has(NEXT, r"^\s*[a-z]") | _begins(NEXT, V.RESUMING_STARTS) | _ends(LINE, V.MID_THOUGHT_ENDINGS)
-    pred = ~_structural(LINE) & ~_structural(NEXT) & opened & (F.col("gap") > 0) & goes_on
+    opened = ~T.has(F.col("line"), r"[.!?:;]\s*$") & ~T.strip(F.col("line")).endswith(",") & (T.word_count(F.col("line")) > 3)
+    goes_on = T.has(F.col("next"), r"^\s*[a-z]") | _begins(F.col("next"), V.RESUMING_STARTS) | _ends(F.col("line"), V.MID_THOUGHT_ENDINGS)
+    pred = ~_structural(F.col("line")) & ~_structural(F.col("next")) & opened & (F.col("gap") > 0) & goes_on
     return join_pairs(lines, pred, _spaced(), "nonblank")
 
 
@@ -57,7 +56,7 @@ KNOWN_STARTS = ("Guild,", "Area ", "Street", "Avenue")
 def join_paragraphs(lines: DataFrame) -> DataFrame:
     """The older paragraph joiner, on the next line only."""
     marks = ("#", "**", "*", "-", "|", ">", "```")
-    now, then = T.rstrip(LINE), T.strip(NEXT)
+    now, then = T.rstrip(F.col("line")), T.strip(F.col("next"))
     ends = F.lit(False)
     for e in OPEN_ENDINGS:
         ends = ends | now.endswith(e)
@@ -66,7 +65,7 @@ def join_paragraphs(lines: DataFrame) -> DataFrame:
         done = done | now.endswith(e)
     small = T.has(then, r"^\p{Ll}") & ~T.starts_with(then, "see ", "area ")
     goes_on = ends | T.starts_with(then, *KNOWN_STARTS) | (~done & small & (T.word_count(now) > 3))
-    pred = ~T.starts_with(now, *marks) & (now != "") & (then != "") & ~T.starts_with(T.rstrip(NEXT), *marks) & goes_on
+    pred = ~T.starts_with(now, *marks) & (now != "") & (then != "") & ~T.starts_with(T.rstrip(F.col("next")), *marks) & goes_on
     return join_pairs(lines, pred, F.concat(now, F.lit(" "), then))
 
 
@@ -89,8 +88,8 @@ def belongs_before(x: Column) -> Column:
 
 def join_cleanup(lines: DataFrame) -> DataFrame:
     """Lines that begin with punctuation or go on with a list join the line before, without their quote marker."""
-    taken = F.when(T.strip(NEXT).startswith(">"), _unquoted(NEXT)).otherwise(T.strip(NEXT))
-    return join_pairs(lines, belongs_before(NEXT), F.concat(T.rstrip(LINE), F.lit(" "), taken))
+    taken = F.when(T.strip(F.col("next")).startswith(">"), _unquoted(F.col("next"))).otherwise(T.strip(F.col("next")))
+    return join_pairs(lines, belongs_before(F.col("next")), F.concat(T.rstrip(F.col("line")), F.lit(" "), taken))
 
 
 def cleanup_candidates(docs: DataFrame) -> DataFrame:
@@ -107,17 +106,17 @@ def parse_notes(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, category, section, descriptor, multiplier) from semi-structured notes. The first line names the
     category; a line of letters before one with "multiplier" opens a section; a line before a value is a row."""
     clean = docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\u200B-\u200D\uFEFF\u00A0_:]", "").alias("text"))
-    lines = to_lines(clean, "splitlines").select("doc_id", "line_no", T.strip(LINE).alias("line")).where("line <> ''")
+    lines = to_lines(clean, "splitlines").select("doc_id", "line_no", T.strip(F.col("line")).alias("line")).where("line <> ''")
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("doc_id").orderBy("line_no")
     df = lines.withColumn("k", F.row_number().over(w)).withColumn("next", F.coalesce(F.lead("line").over(w), F.lit("")))
     df = df.withColumn("category", F.first("line").over(w)).where("k > 1")
-    df = df.withColumn("opens", T.has(LINE, r"^[\p{L} ]*\p{L}[\p{L} ]*$") & T.has(NEXT, "multiplier", True))
-    df = df.withColumn("pred", F.col("opens") | T.has(NEXT, VALUE, True) | T.has(NEXT, MULTIPLIER, True))
+    df = df.withColumn("opens", T.has(F.col("line"), r"^[\p{L} ]*\p{L}[\p{L} ]*$") & T.has(F.col("next"), "multiplier", True))
+    df = df.withColumn("pred", F.col("opens") | T.has(F.col("next"), VALUE, True) | T.has(F.col("next"), MULTIPLIER, True))
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     stop = F.coalesce(F.max(F.when(~F.col("pred"), F.col("k"))).over(so_far), F.lit(1))
     df = df.withColumn("head", F.col("pred") & ((F.col("k") - stop) % 2 == 1))
-    section = F.coalesce(F.last(F.when(F.col("head") & F.col("opens"), LINE), ignorenulls=True).over(so_far), F.lit(""))
+    section = F.coalesce(F.last(F.when(F.col("head") & F.col("opens"), F.col("line")), ignorenulls=True).over(so_far), F.lit(""))
     df = df.withColumn("section", section).where(F.col("head") & ~F.col("opens"))
-    return df.select("doc_id", "line_no", "category", "section", LINE.alias("descriptor"), NEXT.alias("multiplier"))
+    return df.select("doc_id", "line_no", "category", "section", F.col("line").alias("descriptor"), F.col("next").alias("multiplier"))

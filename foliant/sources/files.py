@@ -1,11 +1,10 @@
 """Reading and writing documents, rules and settings."""
 
-from __future__ import annotations
-
 import json
 import tomllib
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +26,6 @@ def read_any_encoding(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ignoring_bad_bytes(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_markdown``; bytes that are no UTF-8 are left out."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(content: pd.Series) -> pd.Series:
         return content.map(lambda b: bytes(b).decode("utf-8", "ignore"))
