@@ -86,11 +86,12 @@ def join_pairs(lines: DataFrame, pred: Column, joined: Column, over: str = "all"
         df = lines.withColumn("counts", F.lit(True)).withColumn("k", F.row_number().over(w))
         df = df.withColumn("next", F.lead("line").over(w)).withColumn("gap", F.lit(0))
     else:
-        df = lines.withColumn("counts", ~T.blank(F.col("line")))
+        # places are counted anew: line numbers have gaps where an earlier operator dropped lines
+        df = lines.withColumn("counts", ~T.blank(F.col("line"))).withColumn("place", F.row_number().over(w))
         df = df.withColumn("k", F.sum(F.col("counts").cast("int")).over(so_far))
-        follow = F.last(F.when(F.col("counts"), F.struct("line_no", "line")), ignorenulls=True).over(back)
+        follow = F.last(F.when(F.col("counts"), F.struct("place", "line")), ignorenulls=True).over(back)
         df = df.withColumn("follow", follow).withColumn("next", F.col("follow.line"))
-        df = df.withColumn("gap", F.col("follow.line_no") - F.col("line_no") - 1).drop("follow")
+        df = df.withColumn("gap", F.col("follow.place") - F.col("place") - 1).drop("follow")
     df = df.withColumn("pred", F.col("counts") & F.col("next").isNotNull() & F.coalesce(pred, F.lit(False)))
     stop = F.coalesce(F.max(F.when(F.col("counts") & ~F.col("pred"), F.col("k"))).over(so_far), F.lit(0))
     df = df.withColumn("head", F.col("pred") & ((F.col("k") - stop) % 2 == 1))

@@ -34,15 +34,19 @@ def fix_paragraphs(docs: DataFrame) -> DataFrame:
     return _relined(docs, breaks.join_broken_sentences, breaks.join_hyphens, breaks.join_across_blanks)
 
 
-def clean_book(docs: DataFrame, config: BookConfig = BookConfig()) -> DataFrame:
-    """(doc_id, text): contents, images, quotes, page numbers, paragraphs, headings, line starts, prices, OCR mistakes,
-    and, if asked for, tables as tab-separated text. Long lines are left as they are. Lazy, with one shuffle."""
+def clean_layout(docs: DataFrame, config: BookConfig = BookConfig()) -> DataFrame:
+    """(doc_id, text): the steps of ``clean_book`` up to line starts, which mend the layout."""
     df = toc.plain_toc(docs.select("doc_id", "text")).drop("n_changes")
     df = rewrite.remove_quotes(rewrite.remove_images(df))
     df = detect.remove_page_numbers(df).drop("n_removed")
-    df = fix_paragraphs(df)
-    df = headers.correct_depth(df, config.max_header_depth)
-    df = _relined(df, breaks.join_cleanup)
+    df = headers.correct_depth(fix_paragraphs(df), config.max_header_depth)
+    return _relined(df, breaks.join_cleanup)
+
+
+def clean_book(docs: DataFrame, config: BookConfig = BookConfig()) -> DataFrame:
+    """(doc_id, text): contents, images, quotes, page numbers, paragraphs, headings, line starts, prices, OCR mistakes,
+    and, if asked for, tables as tab-separated text. Long lines are left as they are. Lazy, with one shuffle."""
+    df = clean_layout(docs, config)
     df = tables.fix_prices(df).drop("n_changes")
     df = rewrite.pattern_rules(rewrite.literal_rules(df), rewrite.additional_rules())
     return tables.inline_tables(df).drop("n_tables") if config.inline_tables else df

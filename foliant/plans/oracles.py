@@ -103,8 +103,9 @@ def whole(change: str) -> str:
     return BOOK.rstrip(", ") + f" SELECT doc_id, {change} AS text FROM book"
 
 
-def pairs(pred: str, joined: str, nonblank: bool = False, drop_after_tail: bool = False, split: str = SPLIT) -> str:
-    """The closed form of a left-to-right pair join, rebuilt to texts. ``pred`` and ``joined``: of line, next and gap."""
+def pairs(pred: str, joined: str, nonblank: bool = False, drop_after_tail: bool = False, split: str = SPLIT, start: str = BOOK) -> str:
+    """The closed form of a left-to-right pair join, rebuilt to texts. ``pred`` and ``joined``: of line, next and gap;
+    ``start``: the CTE of the texts."""
     blank = f"{strip('line')} = ''"
     w = "(PARTITION BY doc_id ORDER BY line_no)"
     if nonblank:
@@ -112,7 +113,7 @@ def pairs(pred: str, joined: str, nonblank: bool = False, drop_after_tail: bool
     else:
         cand = f"SELECT *, lead(line) OVER {w} AS nx, 0 AS gap, row_number() OVER {w} AS k FROM l"
     gone_blank = "last_head" + (" OR last_tail" if drop_after_tail else "")
-    return f"""{BOOK} {lines(split)}, l AS (SELECT doc_id, line_no, line FROM lines),
+    return f"""{start} {lines(split)}, l AS (SELECT doc_id, line_no, line FROM lines),
 c AS (SELECT doc_id, line_no, line, nx AS next, gap, k FROM ({cand})),
 p AS (SELECT *, coalesce(next IS NOT NULL AND ({pred}), false) AS pred FROM c),
 i AS (SELECT *, sum(CASE WHEN pred THEN 0 ELSE 1 END) OVER {w} AS isl FROM p),
@@ -149,7 +150,11 @@ def _joins() -> dict[str, str]:
     seen = lambda x: f"(CASE WHEN starts_with({strip(x)}, '>') THEN {bare(x)} ELSE {x} END)"
     clean = lambda x: f"({strip(x)} <> '' AND NOT starts_with({strip(x)}, '#') AND ({' OR '.join(has(seen(x), '(?i)' + p) for p in B.CLEANUP_STARTS)}))"
     taken = f"CASE WHEN starts_with({strip('next')}, '>') THEN {bare('next')} ELSE {strip('next')} END"
+    steps = pairs(sentence, SPACED, True, True)
+    steps = pairs(hyphen, f"{rstrip('line')} || {lstrip('next')}", start=f"WITH book AS ({steps}), ")
+    steps = pairs(across, SPACED, True, start=f"WITH book AS ({steps}), ")
     return {
+        "paragraphs": steps,
         "sentence_joins": pairs(sentence, SPACED, True, True),
         "hyphen_joins": pairs(hyphen, f"{rstrip('line')} || {lstrip('next')}"),
         "blank_line_joins": pairs(across, SPACED, True),
@@ -283,7 +288,12 @@ def _texts() -> dict[str, str]:
     for wrong, right in V.HEADING_FIXES:
         fixed = f"replace({fixed}, {q(wrong)}, {q(right)})"
     dashes = sub(sub(sub(sub("text", r"\s*---\s*", " — "), r"\s*--\s*|\s*—\s*", " — "), r"\s*—\s*", " — "), " {2,}", " ")
+    # single capitals before a stop are marked by chr(1); each pass may miss a match that shares a character with another
+    single, stop = r"(^|[^\w])([A-Z])([.!?])", r"(^|[^\x01])([.!?])([A-Za-z])"
+    marked = sub(sub(pad("text"), single, r"\1\2" + "\x01" + r"\3"), single, r"\1\2" + "\x01" + r"\3")
+    stops = f"replace({unpad(sub(sub(marked, stop, chr(92) + '1' + chr(92) + '2 ' + chr(92) + '3'), stop, chr(92) + '1' + chr(92) + '2 ' + chr(92) + '3'))}, chr(1), '')"
     return {
+        "stops": whole(stops),
         "daggers": BOOK.rstrip(", ") + " SELECT doc_id, replace(text, '†', '') AS text, length(text) - length(replace(text, '†', '')) AS n_removed FROM book",
         "images": per_line(f"CASE WHEN {cleared} <> '' OR (x <> '' AND NOT {has('x', r'^\s*' + image + r'\s*$')}) THEN {cleared} END"),
         "image_counts": BOOK.rstrip(", ") + f" SELECT doc_id, CAST(list_sum(list_transform({SPLIT}, lambda x: len(regexp_extract_all(x, {q(image)})) + len(regexp_extract_all({sub('x', image, '')}, {q(html)})))) AS BIGINT) AS n_images FROM book",
@@ -326,7 +336,14 @@ k AS (SELECT doc_id, unnest(nos) AS line_no, unnest(lv) AS was, unnest(c) AS lev
 i AS (SELECT doc_id, line_no, original, CASE WHEN foot THEN '[REMOVE - Footer artifact]' ELSE repeat('#', wanted) || ' ' || title END AS suggested,
  CASE WHEN foot THEN 'footer_artifact' ELSE 'hierarchy_fix' END AS issue_type, CASE WHEN foot THEN 'high' WHEN abs(cur - wanted) <= 2 THEN 'medium' ELSE 'low' END AS confidence
  FROM r WHERE cur > 0 AND (foot OR cur <> wanted))"""
+    mark = f"CASE WHEN {s} = '# Table of contents' THEN 1 WHEN starts_with({s}, '# ') AND contains({s}, 'Introduction') THEN 0 END"
+    tag = f"CASE WHEN starts_with({s}, '###') THEN '<2> ' WHEN starts_with({s}, '##') THEN '<1> ' ELSE '<ch> ' END"
+    tagged = f"{sub('line', '#.*$', '', '')} || {tag} || {group('line', '(#.*)$', 1)}"
+    tags = f"""{BOOK} {lines(READ)}, m AS (SELECT *, {mark} AS mark FROM lines),
+r AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 0) AS toc FROM m)
+SELECT doc_id, string_agg(CASE WHEN NOT starts_with({s}, '#') OR (toc = 1 AND {s} <> '# Table of contents') THEN line ELSE {tagged} END, {NL} ORDER BY line_no) AS text FROM r GROUP BY doc_id"""
     return {
+        "heading_tags": tags,
         "header_histogram": f"{heads} SELECT level, count(*) AS n FROM h GROUP BY level",
         "header_summary": f"{heads} SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE level > 4) AS excessive, max(level) AS deepest FROM h GROUP BY doc_id",
         "header_hierarchy": f"{heads}, c AS (SELECT doc_id, line_no, least(level, 4) AS level, lag(least(level, 4)) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev_level FROM h) SELECT doc_id, line_no, prev_level, level FROM c WHERE level > prev_level + 1",
@@ -398,5 +415,18 @@ rows AS (SELECT doc_id, line_no, category, section, line AS descriptor, n AS mul
     }
 
 
+def _after(first: str, then: str) -> str:
+    """``then`` over the texts that ``first`` yields."""
+    head = BOOK.rstrip(", ")
+    if not then.startswith(head):
+        raise ValueError("this SQL doesn't begin with the book")
+    return f"WITH book AS ({first})" + then[len(head) :]
+
+
 def oracle_sql() -> dict[str, str]:
-    return _joins() | _issues() | _long() | _words() | _texts() | _headers() | _contents()
+    found = _joins() | _issues() | _long() | _words() | _texts() | _headers() | _contents()
+    layout = found["toc_plain"]
+    for step in ("images", "quotes", "page_numbers", "paragraphs", "header_depth", "cleanup_joins"):
+        # the SQL of several paragraph steps is nested; its innermost text is the book
+        layout = found[step].replace(DUCKDB, layout, 1) if step == "paragraphs" else _after(layout, found[step])
+    return found | {"clean_layout": layout}

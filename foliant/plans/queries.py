@@ -108,6 +108,7 @@ def queries() -> dict[str, Query]:
         "heading_fixes": _book(rewrite.normalize_headings),
         "ocr_second_pass": _book(book.second_ocr_pass),
         "paragraphs": _book(book.fix_paragraphs),
+        "clean_layout": _book(book.clean_layout),
         "clean_book": _book(book.clean_book),
         "book_steps": _book(book.step_summary),
         "book_quality": _book(book.quality_report),
