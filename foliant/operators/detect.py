@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,9 +12,6 @@ from foliant.functions import text as T
 from foliant.functions import vocab as V
 from foliant.operators.lines import beside, split_lines
 
-ISSUE = ("doc_id", "line_no", "rule", "detail")
-
-
 def _last_word(x: Column) -> Column:
     """The last word of a line without its quote marker and punctuation; null without words."""
     body = F.when(x.startswith(">"), T.strip(F.substr(x, F.lit(2)))).otherwise(x)
@@ -24,14 +23,26 @@ def _bare(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[.,!?;:]+|[.,!?;:]+\z", "")
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    """Stripped lines that aren't blank, headings or fences, with stripped neighbours."""
+def _found(docs: DataFrame, *issues: Callable[[], Column]) -> DataFrame:
+    """(doc_id, line_no, rule, detail) of several kinds of issue in one pass. Each looks at a stripped line that isn't
+    blank, with its stripped neighbours, and gives a struct or null."""
     df = beside(docs, "readlines")
-    df = df.select("doc_id", "line_no", "n_lines", *(T.strip(F.col(c)).alias(c) for c in ("line", "next", "next2")))
-    return df.where((F.col("line") != "") & ~T.starts_with(F.col("line"), "#", "```"))
+    df = df.select("doc_id", "line_no", "n_lines", *(T.strip(F.col(c)).alias(c) for c in ("line", "next", "next2"))).where("line <> ''")
+    some = F.filter(F.array(*(issue() for issue in issues)), lambda s: s.isNotNull())
+    return df.select("doc_id", "line_no", F.explode(some).alias("s")).select("doc_id", "line_no", "s.rule", "s.detail")
+
+
+def _issue(fits: Column, rule: Column, detail: Column) -> Column:
+    return F.when(fits & rule.isNotNull(), F.struct(rule.alias("rule"), detail.alias("detail")))
+
 
+def _plain() -> Column:
+    """Neither a heading nor a fence."""
+    return ~T.starts_with(F.col("line"), "#", "```")
 
-def _ending(line: Column) -> Column:
+
+def _ending() -> Column:
+    line = F.col("line")
     last = _last_word(line)
     kinds = (
         (V.END_CONJUNCTIONS, "conjunction"), (V.END_PREPOSITIONS, "preposition"), (V.END_ARTICLES, "article"),
@@ -41,69 +52,85 @@ def _ending(line: Column) -> Column:
     for words, kind in kinds:
         out = out.when(last.isin(*words), kind)
     acts = last.endswith("s") & (F.length(last) > 3) & F.substr(last, F.lit(1), F.length(last) - 1).isin(*V.ACTION_VERBS)
-    return F.when(line != ">", out.when(acts, "incomplete action verb"))
+    return _issue(_plain(), out.when(acts, "incomplete action verb"), last)
+
+
+def _comma() -> Column:
+    line, then = F.col("line"), F.col("next")
+    short = line.endswith(",") & (then != "") & (T.word_count(then) <= 3) & ~(T.has(then, r"^[\p{Lu}\p{Lt}]") & ~line.endswith(" ,"))
+    return _issue(_plain() & short, F.lit("comma break"), then)
+
+
+def _orphan() -> Column:
+    line = F.col("line")
+    alone = ~T.has(line, r"\s") & ~line.startswith(">") & _bare(line).isin(*V.ORPHANS)
+    return _issue(_plain() & alone, F.lit("orphaned word"), line)
+
+
+def _beginning() -> Column:
+    first = _bare(F.try_element_at(T.words(F.col("line")), F.lit(1)))
+    return _issue(_plain() & first.isin(*V.START_CONTINUATIONS), F.lit("continuation word"), first)
+
+
+def _quote() -> Column:
+    text = lambda c: T.strip(F.substr(F.col(c), F.lit(2)))
+    last, follow = F.lower(F.try_element_at(T.words(text("line")), F.lit(-1))), T.word_count(text("next2"))
+    fits = (F.col("line_no") < F.col("n_lines") - 1) & F.col("line").startswith(">") & (F.col("next") == ">") & F.col("next2").startswith(">") & (follow > 0)
+    rule = (
+        F.when(last.isin(*V.RELATIVE_WORDS), "relative clause")
+        .when(last.isin(*V.OBJECT_VERBS), "verb and object")
+        .when(last.isin(*V.POSSESSIVES, *V.DEMONSTRATIVES) | (last.endswith("s") & (F.length(last) > 3)), "incomplete phrase")
+    )
+    return _issue(fits, rule, last)
+
+
+def _mid_word() -> Column:
+    line, then = F.col("line"), F.col("next")
+    marks = ("#", "```", "|")
+    a = F.regexp_extract(line, r"(?U)(\S+)\z", 1)
+    one = F.regexp_extract(then, r"(?U)^(\S+)", 1)
+    second = F.regexp_extract(then, r"(?U)^\S+\s+(\S+)", 1)
+    b = F.when(~one.startswith(">"), one).when((one == ">") & (second != ""), second).otherwise(F.substr(one, F.lit(2)))
+    both = F.concat(a, b)
+    fits = (then != "") & ~T.starts_with(line, *marks) & ~T.starts_with(then, *marks)
+    fits = fits & (F.length(a) >= 3) & ~T.has(a, r"[.!?,:;-]\z") & (F.length(b) >= 2) & ~T.has(b, r"^[\p{Lu}\p{Lt}]")
+    fits = fits & (F.length(both) > 6) & T.has(both, r"^\p{L}+\z") & ~a.isin("the", "and", "but", "for", "with", "from")
+    return _issue(fits, F.lit("mid-word break"), both)
 
 
 def line_endings(docs: DataFrame) -> DataFrame:
     """Lines that end with a word which wants another; rule is the word's kind, detail the word."""
-    return _plain(docs).select("doc_id", "line_no", _ending(F.col("line")).alias("rule"), _last_word(F.col("line")).alias("detail")).where("rule IS NOT NULL")
+    return _found(docs, _ending)
 
 
 def comma_breaks(docs: DataFrame) -> DataFrame:
     """Lines that end with a comma before a short line that isn't a new sentence."""
-    line, then = F.col("line"), F.col("next")
-    short = line.endswith(",") & (then != "") & (T.word_count(then) <= 3) & ~(T.has(then, r"^[\p{Lu}\p{Lt}]") & ~line.endswith(" ,"))
-    return _plain(docs).where(short).select("doc_id", "line_no", F.lit("comma break").alias("rule"), F.col("next").alias("detail"))
+    return _found(docs, _comma)
 
 
 def orphan_words(docs: DataFrame) -> DataFrame:
     """Lines of one small word."""
-    line = F.col("line")
-    alone = (T.word_count(line) == 1) & ~line.startswith(">") & _bare(line).isin(*V.ORPHANS)
-    return _plain(docs).where(alone).select("doc_id", "line_no", F.lit("orphaned word").alias("rule"), F.col("line").alias("detail"))
+    return _found(docs, _orphan)
 
 
 def line_beginnings(docs: DataFrame) -> DataFrame:
     """Lines that begin with a word which goes on with a sentence."""
-    first = _bare(F.try_element_at(T.words(F.col("line")), F.lit(1)))
-    return _plain(docs).where(first.isin(*V.START_CONTINUATIONS)).select("doc_id", "line_no", F.lit("continuation word").alias("rule"), first.alias("detail"))
+    return _found(docs, _beginning)
 
 
 def quote_breaks(docs: DataFrame) -> DataFrame:
     """Sentences in quotes that an empty quote line parts."""
-    text = lambda c: T.strip(F.substr(F.col(c), F.lit(2)))
-    last, follow = F.lower(F.try_element_at(T.words(text("line")), F.lit(-1))), T.word_count(text("next2"))
-    fits = (F.col("line_no") < F.col("n_lines") - 1) & F.col("line").startswith(">") & (F.col("next") == ">") & F.col("next2").startswith(">") & last.isNotNull() & (follow > 0)
-    rule = (
-        F.when(last.isin(*V.RELATIVE_WORDS), "relative clause")
-        .when(last.isin(*V.OBJECT_VERBS), "verb and object")
-        .when(last.isin(*V.POSSESSIVES, *V.DEMONSTRATIVES) | (last.endswith("s") & (F.length(last) > 3)), "incomplete phrase")
-    )
-    return _plain(docs).where(fits).select("doc_id", "line_no", rule.alias("rule"), last.alias("detail")).where("rule IS NOT NULL")
+    return _found(docs, _quote)
 
 
 def mid_word_breaks(docs: DataFrame) -> DataFrame:
     """Lines whose last word looks like the front of the next line's first; detail is both together."""
-    df = beside(docs, "readlines").select("doc_id", "line_no", T.strip(F.col("line")).alias("line"), T.strip(F.col("next")).alias("next"))
-    marks = ("#", "```", "|")
-    df = df.where((F.col("line") != "") & (F.col("next") != "") & ~T.starts_with(F.col("line"), *marks) & ~T.starts_with(F.col("next"), *marks))
-    ws = T.words(F.col("next"))
-    one = F.try_element_at(ws, F.lit(1))
-    rest = F.substr(one, F.lit(2))
-    first = F.when(~one.startswith(">"), one).when((rest == "") & (F.size(ws) > 1), F.try_element_at(ws, F.lit(2))).otherwise(rest)
-    df = df.select("doc_id", "line_no", F.try_element_at(T.words(F.col("line")), F.lit(-1)).alias("a"), first.alias("b"))
-    both = F.concat("a", "b")
-    fits = (F.length("a") >= 3) & ~T.has(F.col("a"), r"[.!?,:;-]\z") & (F.length("b") >= 2) & ~T.has(F.col("b"), r"^[\p{Lu}\p{Lt}]")
-    fits = fits & (F.length(both) > 6) & T.has(both, r"^\p{L}+\z") & ~F.col("a").isin("the", "and", "but", "for", "with", "from")
-    return df.where(fits).select("doc_id", "line_no", F.lit("mid-word break").alias("rule"), both.alias("detail"))
+    return _found(docs, _mid_word)
 
 
 def paragraph_issues(docs: DataFrame) -> DataFrame:
-    """All of the above: (doc_id, line_no, rule, detail)."""
-    out = None
-    for found in (line_endings, comma_breaks, orphan_words, line_beginnings, quote_breaks, mid_word_breaks):
-        out = found(docs) if out is None else out.unionByName(found(docs))
-    return out
+    """All of the above, in one pass."""
+    return _found(docs, _ending, _comma, _orphan, _beginning, _quote, _mid_word)
 
 
 def issue_summary(docs: DataFrame, shown: int = 10) -> DataFrame:
