@@ -1,7 +1,7 @@
 """The training-data pipeline: documents in, token digests of what is worth training on out.
 
-Stages, each a function of (spark, docs, sf_dir): quality classifier, line dedup, SimHash near-dedup, benchmark
-decontamination and BPE. All but the last return the columns of documents.
+Stages, each a function of (spark, docs, sf_dir): quality classifier, line dedup, near-dedup by
+five-word shingles, benchmark decontamination and BPE. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, decontam, line_dedup, quality, simhash
+from foliant.llm import bpe, decontam, line_dedup, near_copies, quality
 from foliant.llm.common import table
 from foliant.llm.queries import load, vocabulary
 
@@ -27,8 +27,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
