@@ -20,8 +20,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; n_chars follows the text."""
-    out = line_dedup.drop_lines(docs)
+    """Boilerplate lines of a source go; n_chars follows the text. Copies, which the next stage drops, are one page."""
+    out = line_dedup.drop_lines(docs, copies_once=True)
     chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(*docs.columns)
 

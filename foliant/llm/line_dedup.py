@@ -29,19 +29,23 @@ def _counted(line: Column) -> Column:
     return F.length(F.trim(line)) > 0
 
 
-def boilerplate(docs: DataFrame, host: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line hash) of all boilerplate lines. Counts cover all rows.
+def boilerplate(docs: DataFrame, host: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+    """(host, line hash) of all boilerplate lines. Counts cover all rows; with ``copies_once``, the rows of a host that
+    have the same text are one page (a text, too, is known by two hashes then, and null is a text).
 
     A line counts once a page. It is known by two 64-bit hashes while it is counted; each task adds up what it has read
     before the shuffle, so a host or line with many pages is a few rows for the tasks that gather it.
     """
-    pages = docs.select(host.alias("__host"), F.array_distinct(F.filter(_lines(F.col("text")), _counted)).alias("__lines"))
-    totals = pages.groupBy("__host").agg(F.count(F.lit(1)).alias("__total"))
+    page = [F.xxhash64("text").alias("__t"), F.xxhash64(F.lit(1), "text").alias("__t2")] if copies_once else []
+    named = ["__t", "__t2"] if copies_once else []
+    count = F.countDistinct(*named) if copies_once else F.count(F.lit(1))
+    pages = docs.select(host.alias("__host"), *page, F.array_distinct(F.filter(_lines(F.col("text")), _counted)).alias("__lines"))
+    totals = pages.groupBy("__host").agg(count.alias("__total"))
     found = (
-        pages.select("__host", F.explode("__lines").alias("__line"))
-        .select("__host", F.xxhash64("__line").alias("__h"), F.xxhash64(F.lit(1), "__line").alias("__h2"))
+        pages.select("__host", *named, F.explode("__lines").alias("__line"))
+        .select("__host", *named, F.xxhash64("__line").alias("__h"), F.xxhash64(F.lit(1), "__line").alias("__h2"))
         .groupBy("__host", "__h", "__h2")
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(count.alias("__n"))
         .where(F.col("__n") >= min_pages)
     )
     joined = found.join(totals, found["__host"].eqNullSafe(totals["__host"])).select(found["__host"], "__h", "__n", "__total")
@@ -49,19 +53,21 @@ def boilerplate(docs: DataFrame, host: Column, max_ratio: float = MAX_RATIO, min
 
 
 def drop_lines(
-    docs: DataFrame, host: Column | None = None, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES
-) -> DataFrame:
+    docs: DataFrame, host: Column | None = None, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES,
+    copies_once: bool = False,
+) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and the long columns n_lines and n_dropped.
 
     ``host`` defaults to the column source. Null hosts are one host. A null text stays null and has no lines; a text
-    whose lines all go is empty. Repeated rows are pages of their own. The other columns stay as they are, but
+    whose lines all go is empty. Repeated rows are pages of their own, unless ``copies_once``: then a host's rows with the
+    same text count as one page, so that an article's copies don't make its lines boilerplate. The other columns stay as they are, but
     for n_lines and n_dropped, which are replaced; names that begin with two underscores are the operator's.
 
     A host has at most (lines a page) / ``max_ratio`` boilerplate lines, so one row a host holds them. That table is
     broadcast if it is small, as counted; else pages and table are joined by host, each host's pages in SALTS parts.
     """
     host = F.col("source") if host is None else host
-    frequent = cut(boilerplate(docs, host, max_ratio, min_pages))
+    frequent = cut(boilerplate(docs, host, max_ratio, min_pages, copies_once))
     by_host = frequent.groupBy("__host").agg(F.collect_set("__h").alias("__drop")).withColumnRenamed("__host", "__at")
     rows = docs.withColumn("__host", host)
     if frequent.count() <= broadcast_lines:
