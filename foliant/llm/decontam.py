@@ -28,7 +28,7 @@ MIN_WORDS = 5
 WEIGHT, MASKS = 6, 4
 #: Words of all items together up to which they go along to every task (some 50 bytes a word with its seeds).
 BROADCAST_WORDS = 1_000_000
-#: Ids of contaminated documents up to which they are broadcast.
+#: Contaminated documents (id and hash) up to which they are broadcast.
 BROADCAST_IDS = 100_000
 
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -195,8 +195,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, part_words: int = BROAD
     fewer than MIN_WORDS words are not looked for. Repeated documents give the same rows, which are reported once.
     Other columns are not read.
     """
+    return _overlaps(docs.select("doc_id", "text"), ["doc_id"], benchmark, part_words)
+
+
+def _overlaps(rows: DataFrame, keys: list[str], benchmark: DataFrame, part_words: int) -> DataFrame:
+    """``find_overlaps`` with the columns ``keys`` of ``rows`` in the place of doc_id."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    id_type, item_type = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (items, "item_id")))
+    item_type = items.schema["item_id"].dataType.simpleString()
+    key_types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """With a digest of the item's words and their number."""
@@ -211,7 +217,6 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, part_words: int = BROAD
     items = cut(items.select("k", "n", "s.item_id", "s.text"))
     words = items.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-words // part_words))
-    rows = docs.select("doc_id", "text")
     out = None
     for k in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == k)
@@ -222,19 +227,24 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, part_words: int = BROAD
             for batch in batches:
                 for part in steps(batch, "text"):
                     found = known.search(part.column("text"))
-                    ids = part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
+                    at = pa.array([f[0] for f in found], pa.int64())
+                    own = [part.column(c).take(at) for c in keys]
                     item = pa.array([known.ids[f[1]] for f in found], got.schema.field("item_id").type)
                     longs = [pa.array([f[j] for f in found], pa.int64()) for j in (2, 3)]
-                    yield pa.RecordBatch.from_arrays([ids, item, *longs], ["doc_id", "item_id", "covered", "best"])
+                    yield pa.RecordBatch.from_arrays([*own, item, *longs], [*keys, "item_id", "covered", "best"])
 
-        found = rows.mapInArrow(tidy(run), f"doc_id {id_type}, item_id {item_type}, covered long, best long")
+        found = rows.mapInArrow(tidy(run), f"{key_types}, item_id {item_type}, covered long, best long")
         out = found if out is None else out.union(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("best").alias("best"))
+    return out.groupBy(*keys, "item_id").agg(F.max("covered").alias("covered"), F.max("best").alias("best"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """``docs`` without the documents that overlap any item. The ids to drop are kept in the shared folder and counted;
-    few are broadcast, so the texts are not shuffled; many are joined."""
-    bad = cut(find_overlaps(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct())
+    """``docs`` without the rows whose text overlaps any item. Rows are known by doc_id and a hash of the text, so a clean
+    row stays where another text has the same id, or a null one. What to drop is kept in the shared folder and counted;
+    little is broadcast, so the texts are not shuffled; much is joined."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("__t"), "text")
+    found = _overlaps(rows, ["doc_id", "__t"], benchmark, BROADCAST_WORDS)
+    bad = cut(found.select(F.col("doc_id").alias("__bad"), F.col("__t").alias("__bad_text")).distinct())
     n = bad.count()
-    return docs.join(F.broadcast(bad) if n <= broadcast_ids else bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    on = F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64("text") == F.col("__bad_text"))
+    return docs.join(F.broadcast(bad) if n <= broadcast_ids else bad, on, "left_anti")

@@ -30,3 +30,14 @@ def test_copies_do_not_make_an_article_boilerplate(spark, copies):
     assert got == {i: (t, len(t or "")) for i, t in want.items()}
     near = {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, lines, "").collect()}
     assert near == {*range(60), 1000, 1100, 5000}
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, limit):
+    from foliant.llm import decontam
+
+    item = " ".join(f"q{k}" for k in range(20))
+    rows = [(None, f"see {item} here", "s"), (None, "clean without an id", "s"), (None, None, "s"), (4, item, "s"), (4, "clean under a reused id", "s"), (4, item + " again", "s"), (5, "clean", "s")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontam.drop_contaminated(frame(spark, rows), bench, limit)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, ((i, t) for i, t, _ in rows if "q0 q1" not in (t or ""))))
