@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from foliant.llm import decontam, quality
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -34,10 +37,19 @@ def test_copies_do_not_make_an_article_boilerplate(spark, copies):
 
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, limit):
-    from foliant.llm import decontam
-
     item = " ".join(f"q{k}" for k in range(20))
     rows = [(None, f"see {item} here", "s"), (None, "clean without an id", "s"), (None, None, "s"), (4, item, "s"), (4, "clean under a reused id", "s"), (4, item + " again", "s"), (5, "clean", "s")]
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     kept = decontam.drop_contaminated(frame(spark, rows), bench, limit)
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, ((i, t) for i, t, _ in rows if "q0 q1" not in (t or ""))))
+
+
+@pytest.mark.parametrize("bad_share", [0.14, 0.6, 0.9, 0.99])
+def test_threshold_rejects_any_share_of_bad_documents(bad_share):
+    r = np.random.default_rng(1)
+    good = (r.random(2000) >= bad_share).astype(int)
+    x = r.random((2000, quality.N_FEATURES)) * 0.01
+    x[:, 0] += good
+    model = quality.rank(x, good, pairs=2000)
+    predicted = model.score(x) >= quality.CUT
+    assert predicted[good == 1].mean() >= quality.KEEP and predicted[good == 0].mean() <= 0.01
