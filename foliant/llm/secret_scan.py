@@ -1,11 +1,11 @@
 """Secret scans: base patterns, and a character convolutional network over every candidate.
 
-A candidate is a run of 16 to 200 characters of ``[A-Za-z0-9+/_=-]`` with a letter and a digit, or what a base pattern
-matched. The network, in numpy, sees up to WIDTH characters: the candidate's start and what surrounds it. It is trained
-on labelled findings (text, start, end, label). Its scores are calibrated by Platt scaling on held-out findings, and the
+A candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` with a letter and a digit, or what a base pattern
+matched. The network, in numpy, sees WIDTH characters at a time: the candidate and what surrounds it. A candidate that
+doesn't fit is shown in windows over all of it and both sides, and the highest score counts. The network is trained on labelled findings (text, start, end, label). Its scores are calibrated by Platt scaling on held-out findings, and the
 threshold is the highest that keeps the recall there at RECALL or above.
 
-Base findings are always kept; the network adds candidates that it accepts and no base finding covers, as kind ``cnn``.
+Base findings are always kept; the network adds candidates that it accepts and no one base finding covers whole, as kind ``cnn``.
 """
 
 from __future__ import annotations
@@ -30,9 +30,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs of the class are maximal, so asking for 16 at once finds the same runs as filtering them.
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,199}[0-9])(?=[0-9+/_=-]{0,199}[A-Za-z])[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 
 BEFORE, WIDTH = 24, 96
+#: Characters from one window of a long candidate to the next.
+STRIDE = 48
 RECALL = 0.98
 #: Character classes that the network tells apart: single ones for marks, groups for letters and digits.
 _GROUPS = ["aeiou", "bcdf", "ghjklmn", "pqrstvwxyz", "AEIOU", "BCDF", "GHJKLMN", "PQRSTVWXYZ", "01234", "56789", *"+/_=-.:'\"@ \n,()[]{}<>"]
@@ -40,18 +42,27 @@ _CLASS = {c: k + 2 for k, g in enumerate(_GROUPS) for c in g}
 CLASSES = len(_GROUPS) + 3  # 0 pads, 1 is any other character, the last marks the candidate itself
 
 
-def window(text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class numbers of WIDTH characters from BEFORE before the candidate, and which of them are the candidate."""
-    first = start - BEFORE
+def window(text: str, start: int, end: int, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Class numbers of WIDTH characters from BEFORE before the candidate, or ``shift`` later, and which of them are the
+    candidate."""
+    first = start - BEFORE + shift
     shown = text[max(0, first) : first + WIDTH]
     codes = np.zeros(WIDTH, dtype=np.int64)
     lead = max(0, -first)
     codes[lead : lead + len(shown)] = [_CLASS.get(c, 1) for c in shown]
     own = np.zeros(WIDTH, dtype=bool)
-    own[BEFORE : BEFORE + end - start] = True
+    own[max(0, start - first) : max(0, end - first)] = True
     return codes, own
 
 
+def windows(text: str, start: int, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One window where the candidate fits into it; else as many as show all of it and BEFORE characters on both sides."""
+    if end - start <= WIDTH - BEFORE:
+        return [window(text, start, end)]
+    last = end - start + 2 * BEFORE - WIDTH
+    return [window(text, start, end, shift) for shift in [*range(0, last, STRIDE), last]]
+
+
 class Finding(NamedTuple):
     text: str
     start: int
@@ -221,13 +232,15 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def batch_spans(texts: Sequence[str], net: CharCNN) -> list[tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], list[float]]]:
     """For each text its base findings, all findings in order, and the network's score of each of these."""
     base = [base_spans(t) if t else [] for t in texts]
-    every, shown = [], []
+    every, shown, firsts = [], [], []
     for i, (text, own) in enumerate(zip(texts, base)):
         extra = [(m.start(), "cnn", m.end()) for m in CANDIDATE.finditer(text or "")]
-        extra = [s for s in extra if not any(s[0] < b[2] and b[0] < s[2] for b in own)]
+        extra = [s for s in extra if not any(b[0] <= s[0] and s[2] <= b[2] for b in own)]
         every.append(sorted(own + extra, key=lambda s: (s[0], ORDER[s[1]], s[2])))
-        shown += [window(text, s[0], s[2]) for s in every[-1]]
-    scores = net.probability(np.array([c for c, _ in shown]), np.array([o for _, o in shown])).tolist() if shown else []
+        for s in every[-1]:
+            firsts.append(len(shown))
+            shown += windows(text, s[0], s[2])
+    scores = np.maximum.reduceat(net.probability(np.array([c for c, _ in shown]), np.array([o for _, o in shown])), firsts).tolist() if shown else []
     out, k = [], 0
     for own, found in zip(base, every):
         rated = [(s, scores[k + j]) for j, s in enumerate(found)]
