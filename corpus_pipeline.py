@@ -49,7 +49,7 @@ STAGES = [
     ("bpe", tokenize),
 ]
 
-#: SQL cannot express the classifier, SimHash and BPE; the pipeline is tested against brute force.
+#: SQL cannot express the classifier, SimHash and BPE; the pipeline is tested against a plain-Python model on planted documents.
 ORACLE_SQL = None
 
 
