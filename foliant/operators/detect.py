@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions import text as T
 from foliant.functions import vocab as V
-from foliant.operators.lines import beside, split_lines
+from foliant.operators.lines import beside, held, let, marked, scan, split_lines
 
 def _last_word(x: Column) -> Column:
     """The last word of a line without its quote marker and punctuation; null without words."""
@@ -150,18 +150,20 @@ def table_integrity(docs: DataFrame) -> DataFrame:
     row = lambda x: T.strip(x).startswith("|")
     pipes = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
 
-    def head_of(acc: Column, x: Column) -> Column:
-        """Position of each line's table head; 0 outside tables."""
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
-        return F.concat(acc, F.array(F.when(~row(x), 0).when(last > 0, last).otherwise(F.size(acc) + 1)))
-
-    df = df.withColumn("hs", F.aggregate("ls", F.array().cast("array<int>"), head_of))
-    cols = lambda i: F.get(F.col("ls"), i - 1)
-    seen = df.select(
-        "doc_id",
-        F.size("ls").alias("n"),
-        F.posexplode(F.transform("ls", lambda x, i: F.struct(x.alias("line"), F.get(F.col("hs"), i).alias("h"), cols(F.get(F.col("hs"), i)).alias("head"), F.get(F.col("ls"), (i + 1).cast("int")).alias("next")))).alias("at", "s"),
-    ).select("doc_id", "n", (F.col("at") + 1).alias("i"), "s.*").where("h > 0")
+    def turn(ls: Column) -> Callable[[Column, Column], Column]:
+        """At the first line of a table its position, at the first line after one 0."""
+
+        def value(x: Column, i: Column) -> Column:
+            before = F.coalesce(row(F.get(ls, i - 1)), F.lit(False))
+            return F.when(row(x) & ~before, i + 1).when(~row(x) & before, 0)
+
+        return value
+
+    # position of each line's table head; 0 outside tables
+    df = df.withColumn("hs", let(F.col("ls"), lambda ls: held(marked(ls, turn(ls)), F.size(ls), F.lit(0))))
+    every = lambda s: F.transform(s["ls"], lambda x, i: F.struct(x.alias("line"), F.get(s["hs"], i).alias("h"), F.get(s["ls"], F.get(s["hs"], i) - 1).alias("head"), F.get(s["ls"], (i + 1).cast("int")).alias("next")))
+    seen = df.select("doc_id", F.size("ls").alias("n"), F.posexplode(let(F.struct("ls", "hs"), every)).alias("at", "s"))
+    seen = seen.select("doc_id", "n", (F.col("at") + 1).alias("i"), "s.*").where("h > 0")
     head, line, then = pipes(F.col("head")).cast("long"), F.col("line"), F.col("next")
     first = F.col("h") == F.col("i")
     issue = lambda at, rule, found: F.struct(at.cast("long").alias("line_no"), F.lit(rule).alias("rule"), head.alias("expected"), found.cast("long").alias("found"))
@@ -213,8 +215,8 @@ def long_lines(docs: DataFrame, threshold: int = THRESHOLD, ignore_headers: bool
     return df.select("doc_id", "line_no", "length", severity.alias("severity"), "line")
 
 
-def severity_counts(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    return long_lines(docs, threshold).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+def severity_counts(docs: DataFrame, threshold: int = THRESHOLD, ignore_headers: bool = False, ignore_code: bool = False) -> DataFrame:
+    return long_lines(docs, threshold, ignore_headers, ignore_code).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Where a long line may be parted (fixed patterns): after a sentence, before a clause, before a dash.
@@ -226,8 +228,7 @@ DASH = r"(?=---\s)|(?<!-)(?=--\s)"
 def _positions(line: Column, pattern: str, reason: str, least: int) -> Column:
     """Positions (characters before the break) of a pattern without width, over ``least``."""
     parts = F.transform(F.split(line, T.EXACT + pattern, -1), lambda p: F.length(p))
-    ends = F.aggregate(parts, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
-    inner = F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))
+    inner = let(scan(parts, F.lit(0), lambda at, n: at + n, "int"), lambda ends: F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))))
     return F.transform(F.filter(inner, lambda p: p > least), lambda p: F.struct(p.alias("pos"), F.lit(reason).alias("reason")))
 
 

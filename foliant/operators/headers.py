@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions import text as T
-from foliant.operators.lines import beside, map_lines, split_lines
+from foliant.operators.lines import beside, held, map_lines, map_regions, marked, scan, split_lines
 
 MAX_DEPTH = 4
 HEADER = r"^(#{1,10})\s+(.+)$"
@@ -41,32 +41,31 @@ def depth_summary(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 def _corrected(levels: Column, max_depth: int) -> Column:
     """Levels in order, none more than one below its predecessor's corrected level, unless that would pass the maximum."""
 
-    def step(acc: Column, level: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.concat(acc, F.array(F.when((F.size(acc) > 0) & (level > F.try_element_at(acc, F.lit(-1)) + 1) & (F.try_element_at(acc, F.lit(-1)) < max_depth), F.try_element_at(acc, F.lit(-1)) + 1).otherwise(level)))
+    def step(last: Column, level: Column) -> Column:
+        return F.when((last > 0) & (level > last + 1) & (last < max_depth), last + 1).otherwise(level)
 
-    return F.aggregate(levels, F.array().cast("array<int>"), step)
+    return scan(levels, F.lit(0), step, "int")
 
 
 def _with_levels(docs: DataFrame, max_depth: int, hierarchy: bool) -> DataFrame:
-    """``docs`` with ls (lines), at (positions of headings) and lv (their final levels)."""
+    """``docs`` with ls (lines), hs (headings: position ``at`` and level ``v``) and lv (their final levels)."""
     df = docs.withColumn("ls", split_lines(F.col("text")))
-    df = df.withColumn("lv0", F.transform("ls", _level))
-    df = df.withColumn("at", F.filter(F.sequence(F.lit(1), F.size("ls")), lambda i: F.get(F.col("lv0"), i - 1) > 0))
-    found = F.transform("at", lambda i: F.get(F.col("lv0"), i - 1))
+    df = df.withColumn("hs", marked(F.col("ls"), lambda x, _: F.when(_level(x) > 0, _level(x))))
+    found = F.transform("hs", lambda h: h["v"])
     return df.withColumn("lv", _corrected(found, max_depth) if hierarchy else found)
 
 
 def correct_depth(docs: DataFrame, max_depth: int = MAX_DEPTH, hierarchy: bool = True) -> DataFrame:
     """``docs`` with headings deeper than ``max_depth`` made bold, after hierarchy fixes. Every heading is spaced anew."""
     df = _with_levels(docs, max_depth, hierarchy)
-    level = F.map_from_arrays("at", "lv")
 
-    def change(x: Column, i: Column) -> Column:
-        own = F.try_element_at(F.col("by_line"), i + 1)
-        return F.when(own.isNull(), x).when(own > max_depth, F.concat(F.lit("**"), _title(x), F.lit("**"))).otherwise(F.concat(F.repeat(F.lit("#"), own), F.lit(" "), _title(x)))
+    def change(x: Column, own: Column) -> Column:
+        # the level of the last heading is held until the next one; only the heading itself takes it
+        made = F.when(own > max_depth, F.concat(F.lit("**"), _title(x), F.lit("**"))).otherwise(F.concat(F.repeat(F.lit("#"), own), F.lit(" "), _title(x)))
+        return F.when(_level(x) > 0, made).otherwise(x)
 
-    df = df.withColumn("by_line", level).withColumn("text", F.array_join(F.transform("ls", change), "\n"))
+    final = F.zip_with("hs", "lv", lambda h, v: F.struct(h["at"].alias("at"), v.alias("v")))
+    df = df.withColumn("text", F.array_join(F.zip_with("ls", held(final, F.size("ls"), F.lit(0)), change), "\n"))
     return df.select(*docs.columns)
 
 
@@ -74,8 +73,8 @@ def corrections(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(doc_id, line_no, original_level, level, action): what ``correct_depth`` logs; action is hierarchy_corrected or
     converted_to_bold."""
     df = _with_levels(docs, max_depth, True)
-    rows = df.select("doc_id", F.explode(F.arrays_zip("at", F.transform("at", lambda i: F.get(F.col("lv0"), i - 1)).alias("was"), "lv")).alias("s"))
-    rows = rows.select("doc_id", F.col("s.at").cast("long").alias("line_no"), F.col("s.was").cast("long").alias("original_level"), F.col("s.lv").cast("long").alias("level"))
+    rows = df.select("doc_id", F.explode(F.arrays_zip("hs", "lv")).alias("s"))
+    rows = rows.select("doc_id", F.col("s.hs.at").cast("long").alias("line_no"), F.col("s.hs.v").cast("long").alias("original_level"), F.col("s.lv").cast("long").alias("level"))
     moved = rows.where("level <> original_level").withColumn("action", F.lit("hierarchy_corrected"))
     return moved.union(rows.where(F.col("level") > max_depth).withColumn("action", F.lit("converted_to_bold")))
 
@@ -160,39 +159,24 @@ def is_section_title(x: Column) -> Column:
 
 def promote_headers(docs: DataFrame) -> DataFrame:
     """Section titles become headings of level 2, but in tables of contents, which end at the first blank line."""
-    df = docs.withColumn("ls", split_lines(F.col("text"), "readlines"))
     starts = lambda x: F.lower(T.strip(x)) == "table of contents"
 
-    def step(acc: Column, x: Column) -> Column:
-        """1 inside a table of contents, the marker line included."""
-        inside = F.when(starts(x), 1).when(T.blank(x), 0).otherwise(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))
-        return F.concat(acc, F.array(inside))
+    def change(x: Column, inside: Column) -> Column:
+        return F.when(~inside & is_section_title(x) & ~T.strip(x).startswith("#"), F.concat(F.lit("## "), T.strip(x))).otherwise(x)
 
-    df = df.withColumn("toc", F.aggregate("ls", F.array().cast("array<int>"), step))
-
-    def change(x: Column, i: Column) -> Column:
-        return F.when((F.get(F.col("toc"), i) == 0) & is_section_title(x) & ~T.strip(x).startswith("#"), F.concat(F.lit("## "), T.strip(x))).otherwise(x)
-
-    return df.withColumn("text", F.array_join(F.transform("ls", change), "\n")).select(*docs.columns)
+    return docs.withColumn("text", F.array_join(map_regions(split_lines(F.col("text"), "readlines"), starts, T.blank, change), "\n"))
 
 
 def tag_headings(docs: DataFrame) -> DataFrame:
     """Word tags before headings (second pass over a book of names): <ch>, <1>, <2> for levels 1, 2, and 3 or more; not
     inside the table of contents, which the first "# ...Introduction" after it ends."""
-    df = docs.withColumn("ls", split_lines(F.col("text"), "readlines"))
     opens = lambda x: T.strip(x) == "# Table of contents"
     closes = lambda x: T.strip(x).startswith("# ") & T.strip(x).contains("Introduction")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
-        return F.concat(acc, F.array(F.when(opens(x), 1).when(closes(x), 0).otherwise(last)))
-
-    df = df.withColumn("toc", F.aggregate("ls", F.array().cast("array<int>"), step))
-
-    def change(x: Column, i: Column) -> Column:
+    def change(x: Column, inside: Column) -> Column:
         s = T.strip(x)
         tag = F.when(s.startswith("###"), "<2> ").when(s.startswith("##"), "<1> ").otherwise("<ch> ")
-        plain = ~s.startswith("#") | ((F.get(F.col("toc"), i) == 1) & ~opens(x))
+        plain = ~s.startswith("#") | (inside & ~opens(x))
         return F.when(plain, x).otherwise(F.concat(T.sub(x, r"#.*$", ""), tag, F.regexp_extract(x, T.EXACT + "(#.*)$", 1)))
 
-    return df.withColumn("text", F.array_join(F.transform("ls", change), "\n")).select(*docs.columns)
+    return docs.withColumn("text", F.array_join(map_regions(split_lines(F.col("text"), "readlines"), opens, closes, change), "\n"))

@@ -29,6 +29,58 @@ def split_lines(text: Column, mode: str = "split") -> Column:
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once. A column that is used inside a lambda may be merged into it by the optimizer
+    and then be evaluated for each element; an argument is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def held(marks: Column, n: Column, first: Column) -> Column:
+    """An array of ``n`` values: each mark's ``v`` from its position ``at`` (from 1, ascending) to the next mark, ``first``
+    before all marks. Linear, where a fold that appends would copy its array for each line."""
+
+    def build(s: Column) -> Column:
+        until = lambda k: F.coalesce(F.get(s["m"], (k + 1).cast("int"))["at"], s["n"] + 1)
+        lead = F.array_repeat(first, F.coalesce(F.get(s["m"], F.lit(0))["at"], s["n"] + 1) - 1)
+        return F.flatten(F.concat(F.array(lead), F.transform(s["m"], lambda m, k: F.array_repeat(m["v"], until(k) - m["at"]))))
+
+    return let(F.struct(marks.alias("m"), n.alias("n")), build)
+
+
+def marked(lines: Column, value: Callable[[Column, Column], Column]) -> Column:
+    """Marks for ``held``: position and ``value`` (of line and position from 0) where that isn't null."""
+    found = F.transform(lines, lambda x, i: F.struct((i + 1).alias("at"), value(x, i).alias("v")))
+    return F.filter(found, lambda m: m["v"].isNotNull())
+
+
+def map_regions(lines: Column, opens: Callable[[Column], Column], closes: Callable[[Column], Column], change: Callable[[Column, Column], Column]) -> Column:
+    """``change`` of each line and of whether it is in a region (its opening line is, its closing line isn't). Linear."""
+    marks = lambda ls: marked(ls, lambda x, _: F.when(opens(x), True).when(closes(x), False))
+    return let(lines, lambda ls: F.zip_with(ls, held(marks(ls), F.size(ls), F.lit(False)), change))
+
+
+#: Results that ``scan`` gathers before it appends them, so that none is copied more often than that.
+SCANNED = 256
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """All states of a left fold, one for each item: ``step`` of the state so far and the item. ``kind``: the state's type."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        return let(step(acc["s"], x), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out")))
+
+    def many(acc: Column, part: Column) -> Column:
+        return let(F.aggregate(part, F.struct(acc["s"].alias("s"), none.alias("out")), one), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def whole(xs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / SCANNED).cast("int")), lambda c: F.slice(xs, c * SCANNED + 1, SCANNED))
+        empty = F.array().cast(f"array<array<{kind}>>")
+        return F.when(F.size(xs) > 0, F.flatten(F.aggregate(parts, F.struct(start.cast(kind).alias("s"), empty.alias("out")), many, lambda acc: acc["out"]))).otherwise(none)
+
+    return let(items, whole)
+
+
 def map_text(docs: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
     """``docs`` with ``change`` applied to the whole text."""
     return docs.withColumn("text", change(F.coalesce("text", F.lit(""))))

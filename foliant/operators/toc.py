@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators.lines import split_lines
+from foliant.operators.lines import map_regions, split_lines
 
 #: Markers of a table of contents and of its end (fixed values).
 MARKERS = ("## Table Of Contents", "# Table Of Contents", "Table Of Contents")
 NOTE = "The Table of Contents will likely"
 CONTENT_STARTS = ("Castles Zagyg:", "Foreword", "Part I", "Introduction")
+FIRST_PART, BOOK_TITLE = "# Part I:", "Castles Zagyg: Yggsburgh"
 
 
 def _numbered(x: Column) -> Column:
@@ -59,23 +60,11 @@ def plain_toc(docs: DataFrame, width: int = 70) -> DataFrame:
     return df.withColumn("text", F.when(F.col("end").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(whole, "\n"))).select(*docs.columns, "n_changes")
 
 
-def _regions(lines: Column, opens: "callable", closes: "callable") -> Column:
-    """Positions (from 1) of lines inside a region; an opening or closing line is not inside."""
-
-    def step(acc: Column, x: Column) -> Column:
-        inside = F.when(opens(x), True).when(closes(x), False).otherwise(acc["on"])
-        hit = acc["on"] & ~opens(x) & ~closes(x)
-        return F.struct((acc["i"] + 1).alias("i"), inside.alias("on"), F.when(hit, F.concat(acc["at"], F.array(acc["i"] + 1))).otherwise(acc["at"]).alias("at"))
-
-    start = F.struct(F.lit(0).alias("i"), F.lit(False).alias("on"), F.array().cast("array<int>").alias("at"))
-    return F.aggregate(lines, start, step, lambda acc: acc["at"])
-
-
 def _rewrite_region(docs: DataFrame, closes: "callable", change: "callable") -> DataFrame:
-    df = docs.withColumn("ls", split_lines(F.col("text"), "readlines"))
-    df = df.withColumn("at", _regions(F.col("ls"), lambda x: T.strip(x) == MARKERS[0], closes))
-    out = F.transform("ls", lambda x, i: F.when(F.array_contains(F.col("at"), i + 1), change(x)).otherwise(x))
-    return df.withColumn("text", F.array_join(out, "\n")).select(*docs.columns)
+    """``change`` of the lines between the marker and a closing line; a line that becomes null goes."""
+    opens = lambda x: T.strip(x) == MARKERS[0]
+    out = map_regions(split_lines(F.col("text"), "readlines"), opens, closes, lambda x, inside: F.when(inside & ~opens(x), change(x)).otherwise(x))
+    return docs.withColumn("text", F.array_join(F.filter(out, lambda x: x.isNotNull()), "\n"))
 
 
 def dotted_toc(docs: DataFrame) -> DataFrame:
@@ -88,7 +77,7 @@ def dotted_toc(docs: DataFrame) -> DataFrame:
         seen = x.contains("." * 12) | T.has(s, "[0-9]$")
         return F.when(seen & (page != ""), _dotted(title, page, 80, 3, 60)).otherwise(x)
 
-    return _rewrite_region(docs, lambda x: T.starts_with(T.strip(x), "# Part I:") | (T.strip(x) == "Castles Zagyg: Yggsburgh"), change)
+    return _rewrite_region(docs, lambda x: T.starts_with(T.strip(x), FIRST_PART) | (T.strip(x) == BOOK_TITLE), change)
 
 
 def crowded_toc(docs: DataFrame) -> DataFrame:
@@ -104,10 +93,7 @@ def crowded_toc(docs: DataFrame) -> DataFrame:
         fits = x.contains("." * 18) & (F.size(titles) > 0)
         return F.when(fits & (F.size(pairs) == 0), F.lit(None)).when(fits, made).otherwise(x)
 
-    df = docs.withColumn("ls", split_lines(F.col("text"), "readlines"))
-    df = df.withColumn("at", _regions(F.col("ls"), lambda x: T.strip(x) == MARKERS[0], lambda x: T.starts_with(T.strip(x), NOTE)))
-    out = F.transform("ls", lambda x, i: F.when(F.array_contains(F.col("at"), i + 1), change(x)).otherwise(x))
-    return df.withColumn("text", F.array_join(F.filter(out, lambda x: x.isNotNull()), "\n")).select(*docs.columns)
+    return _rewrite_region(docs, lambda x: T.starts_with(T.strip(x), NOTE), change)
 
 
 def _toc_and_headings(docs: DataFrame, clean: "callable") -> DataFrame:

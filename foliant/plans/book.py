@@ -61,7 +61,7 @@ def quality_report(docs: DataFrame, config: BookConfig = BookConfig()) -> DataFr
 
     words = spell.spelling_candidates(docs, None).agg(F.count(F.lit(1)).alias("n")).withColumn("metric", F.lit("candidates"))
     out = as_metrics(words, "spell_check", "metric")
-    out = out.union(as_metrics(detect.severity_counts(docs, config.long_line_threshold), "long_lines", "severity"))
+    out = out.union(as_metrics(detect.severity_counts(docs, config.long_line_threshold, ignore_headers=True, ignore_code=True), "long_lines", "severity"))
     issues = detect.paragraph_issues(docs).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
     out = out.union(as_metrics(issues, "paragraph_breaks", "rule"))
     bad = detect.table_integrity(docs).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))

@@ -198,3 +198,69 @@ def test_book_is_its_steps(damaged):
 def test_ocr_gate(spark):
     rows = spark.createDataFrame([(99, 1), (100, 1), (101, 0), (250, 3)], "b long, p long")
     assert [r[0] for r in rows.select(tables.needs_ocr(F.col("b"), F.col("p"))).collect()] == [True, False, False, True]
+
+
+KINDS = [
+    "## Table Of Contents", "Table of Contents", "# Table of contents", "# Part I: X", "The Table of Contents will likely", "Gate .................... 12 Moat ................... 34",
+    "Tower .................... 7", "Plain words 12", "", "# The Introduction", "### Deep", "######## deeper", "Population", "| a | b |", "| x |", "word " * 10,
+]
+
+
+def region_model(text, opens, closes, change):
+    """``change`` of each line and of whether it is in a region, which its opening line belongs to."""
+    out, inside = [], False
+    for x in text.split("\n"):
+        inside = True if opens(x) else False if closes(x) else inside
+        out.append(change(x, inside))
+    return "\n".join(x for x in out if x is not None)
+
+
+def test_regions_and_levels_of_a_long_document(spark):
+    """20,000 lines: work that grows with the square of a document's lines would not end in time."""
+    r = random.Random(3)
+    text = "\n".join(r.choice(KINDS) for _ in range(20_000)) + "\nend"
+    df = docs(spark, text, "no marker\n" + text[:5000] + "end", "", None).cache()
+    dots = lambda t, p, w, lo, hi: f"{t} {'.' * min(hi, max(lo, w - len(t) - len(p) - 2))} {p}"
+    one = re.compile(r"^(.+?)\s+\.{3,}\s+(\d+)\s*$")
+
+    def dotted(x, inside):
+        m = one.match(x) if inside and x != KINDS[0] else None
+        return dots(m[1].strip(), m[2], 80, 3, 60) if m else x
+
+    def tagged(x, inside):
+        if not x.startswith("#") or (inside and x != KINDS[2]):
+            return x
+        return ("<2> " if x.startswith("###") else "<1> " if x.startswith("##") else "<ch> ") + x
+
+    def levels(text):
+        out, last = [], 0
+        for x in text.split("\n"):
+            m = re.match(r"(#{1,10})\s+(.+)$", x)
+            if m:
+                n = len(m[1])
+                last = last + 1 if last and n > last + 1 and last < 4 else n
+                x = f"**{m[2].strip()}**" if last > 4 else f"{'#' * last} {m[2].strip()}"
+            out.append(x)
+        return "\n".join(out)
+
+    models = (
+        (toc.dotted_toc, lambda t: region_model(t, lambda x: x == KINDS[0], lambda x: x.startswith("# Part I:"), dotted)),
+        (headers.tag_headings, lambda t: region_model(t, lambda x: x == KINDS[2], lambda x: x == "# The Introduction", tagged)),
+        (headers.promote_headers, lambda t: region_model(t, lambda x: x == KINDS[1], lambda x: x == "", lambda x, inside: f"## {x}" if x.startswith(("Population", "Tower", "Gate")) and not inside else x)),
+        (headers.correct_depth, levels),
+    )
+    for op, model in models:
+        got = texts(op(df))
+        assert got[0] == model(text) and got[1] == model("no marker\n" + text[:5000] + "end") and got[2:] == ["", ""]
+    assert toc.crowded_toc(df).count() == 4
+    got = detect.table_integrity(df).where("doc_id = 0").count()
+    rows, bad = text.split("\n"), 0
+    head = None
+    for k, x in enumerate(rows):
+        if not x.startswith("|"):
+            head = None
+        elif head is None:
+            head = x.count("|")
+        else:
+            bad += x.count("|") != head
+    assert got == bad
