@@ -436,3 +436,20 @@ BOOK_HEADINGS = (
 )
 
 DEMONSTRATIVES = "the a an this that these those".split()
+
+#: Possible fixes that an error list looks for, in order (fixed values).
+ERROR_FIXES = (
+    ("saltier", "saltire"),
+    ("party per bend", "parted per bend"),
+    (" .", "."),
+    ("  ", " "),
+    ("”", '"'),
+    ("“", '"'),
+    ("’", "'"),
+    ("‘", "'"),
+)
+
+#: Labels of name lists, and titles of a book of names by the level that they get (fixed values).
+NAME_LABELS = ("Standard", "Other", "Common", "First common", "Second common")
+TOP_TITLES = ("Appendices", "Bibliography", "Tables", "Foreword", "Outline")
+LOW_TITLES = ("Terminology", "Pronunciation", "People's names", "A nominal history")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from foliant.functions import text as T
 from foliant.functions import vocab as V
 from foliant.operators.lines import beside, held, let, marked, scan, split_lines
 
+
 def _last_word(x: Column) -> Column:
     """The last word of a line without its quote marker and punctuation; null without words."""
     body = F.when(x.startswith(">"), T.strip(F.substr(x, F.lit(2)))).otherwise(x)
@@ -84,18 +86,95 @@ def _quote() -> Column:
     return _issue(fits, rule, last)
 
 
-def _mid_word() -> Column:
-    line, then = F.col("line"), F.col("next")
+def mid_word(line: Column, then: Column) -> Column:
+    """The word that a stripped line's last word and the first word of the next stripped line make if they look like two
+    parts of it; else null."""
     marks = ("#", "```", "|")
     a = F.regexp_extract(line, r"(?U)(\S+)\z", 1)
     one = F.regexp_extract(then, r"(?U)^(\S+)", 1)
     second = F.regexp_extract(then, r"(?U)^\S+\s+(\S+)", 1)
     b = F.when(~one.startswith(">"), one).when((one == ">") & (second != ""), second).otherwise(F.substr(one, F.lit(2)))
     both = F.concat(a, b)
-    fits = (then != "") & ~T.starts_with(line, *marks) & ~T.starts_with(then, *marks)
+    fits = (line != "") & (then != "") & ~T.starts_with(line, *marks) & ~T.starts_with(then, *marks)
     fits = fits & (F.length(a) >= 3) & ~T.has(a, r"[.!?,:;-]\z") & (F.length(b) >= 2) & ~T.has(b, r"^[\p{Lu}\p{Lt}]")
     fits = fits & (F.length(both) > 6) & T.has(both, r"^\p{L}+\z") & ~a.isin("the", "and", "but", "for", "with", "from")
-    return _issue(fits, F.lit("mid-word break"), both)
+    return F.when(fits, both)
+
+
+def _mid_word() -> Column:
+    both = mid_word(F.col("line"), F.col("next"))
+    return _issue(both.isNotNull(), F.lit("mid-word break"), both)
+
+
+def mend_mid_words(docs: DataFrame) -> DataFrame:
+    """``docs`` with words that ``mid_word_breaks`` finds joined on the first line, from the last line to the first. White
+    space of both lines is evened out, a quote keeps its marker, and a line that loses its only word goes. Linear."""
+    df = docs.withColumn("ls", split_lines(F.col("text"), "readlines"))
+    flagged = lambda ls: F.transform(ls, lambda x, i: F.struct(x.alias("x"), mid_word(T.strip(x), T.strip(F.get(ls, (i + 1).cast("int")))).isNotNull().alias("hit")))
+
+    def step(after: Column, item: Column) -> Column:
+        """``now``: the line as it is so far; ``done``: what the line below it ends as, null if it goes."""
+        def join(both: Column) -> Column:
+            mine, below = both["mine"], both["below"]
+            quoted = F.get(below, F.lit(0)).startswith(">")
+            bare = T.strip(F.substr(F.get(below, F.lit(0)), F.lit(2)))
+            lone = quoted & (bare == "") & (F.size(below) > 1)
+            first = F.when(lone, F.get(below, F.lit(1))).when(quoted, bare).otherwise(F.get(below, F.lit(0)))
+            rest = F.array_join(F.slice(below, F.when(lone, 3).otherwise(2), F.size(below) + 1), " ")
+            joined = F.array_join(F.concat(F.slice(mine, 1, F.size(mine) - 1), F.array(F.concat(F.element_at(mine, -1), first))), " ")
+            left = F.when(rest == "", F.lit(None)).otherwise(F.concat(F.when(quoted, "> ").otherwise(""), rest))
+            return F.struct(joined.alias("now"), left.alias("done"))
+
+        both = F.struct(T.words(item["x"]).alias("mine"), T.words(after["now"]).alias("below"))
+        fits = F.coalesce(item["hit"] & ~T.blank(item["x"]) & ~T.blank(after["now"]), F.lit(False))
+        return F.when(fits, let(both, join)).otherwise(F.struct(item["x"].alias("now"), after["now"].alias("done")))
+
+    def mended(ls: Column) -> Column:
+        start = F.struct(F.lit(None).cast("string").alias("now"), F.lit(None).cast("string").alias("done"))
+        states = scan(F.reverse(flagged(ls)), start, step, "struct<now:string,done:string>")
+        return let(states, lambda s: F.reverse(F.filter(F.concat(F.transform(s, lambda x: x["done"]), F.array(F.element_at(s, -1)["now"])), lambda x: x.isNotNull())))
+
+    text = F.when(F.size("ls") == 0, "").otherwise(F.array_join(let(F.col("ls"), mended), "\n"))
+    return df.withColumn("text", text).select(*docs.columns)
+
+
+def places(text: Column, pattern: str) -> Column:
+    """Matches of a pattern: characters before it, and what it matched."""
+    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    both = F.filter(F.zip_with(parts, found, lambda p, f: F.struct(p.alias("p"), f.alias("f"))), lambda s: s["f"].isNotNull())
+    step = lambda s, x: F.struct((s["end"] + F.length(x["p"]) + F.length(x["f"])).alias("end"), x["f"].alias("f"))
+    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("f"))
+    return F.transform(scan(both, start, step, "struct<end:int,f:string>"), lambda s: F.struct((s["end"] - F.length(s["f"])).alias("at"), s["f"].alias("found")))
+
+
+#: Characters on both sides that an error list shows for its kinds (fixed values).
+FIX_CONTEXT, SPACES_CONTEXT, CHARACTER_CONTEXT = 50, 30, 10
+
+
+def error_list(docs: DataFrame, fixes: tuple[tuple[str, str], ...] = V.ERROR_FIXES) -> DataFrame:
+    """(doc_id, line_no, at, rule, detail, context): possible fixes, runs of spaces and characters beyond ASCII, by line, with
+    what stands around them: in the line for fixes, else in the lines before and after, too. ``at``: characters before it in
+    its line."""
+    line, before = F.col("line"), F.coalesce(F.length("prev") + 1, F.lit(0))
+
+    def entries(pattern: str, rule: str, detail: str | None, text: str, ahead: Column, width: int) -> Column:
+        def entry(m: Column) -> Column:
+            at, n = m["at"] + ahead, F.length(m["found"])
+            shown = F.substr(F.col(text), F.greatest(at - width, F.lit(0)) + 1, F.least(at, F.lit(width)) + n + width)
+            named = m["found"] if detail is None else F.lit(detail)
+            return F.struct(m["at"].cast("long").alias("at"), F.lit(rule).alias("rule"), named.alias("detail"), F.concat(F.lit("..."), shown, F.lit("...")).alias("context"))
+
+        none = F.array().cast("array<struct<at:bigint,rule:string,detail:string,context:string>>")
+        return F.when(line.rlike(pattern), F.transform(places(line, pattern), entry)).otherwise(none)
+
+    every = [entries(re.escape(a), "possible fix", f"{a} → {b}", "line", F.lit(0), FIX_CONTEXT) for a, b in fixes]
+    every.append(entries(" {2,}", "multiple spaces", None, "around", before, SPACES_CONTEXT))
+    every.append(entries(r"[^\x00-\x7F]", "non-ASCII character", None, "around", before, CHARACTER_CONTEXT))
+    df = beside(docs).withColumn("around", F.concat_ws("\n", "prev", "line", "next"))
+    df = df.where(line.rlike(T.one_of(*(re.escape(a) for a, _ in fixes), " {2,}", r"[^\x00-\x7F]")))
+    for k, found in enumerate(every):
+        df = df.withColumn(f"e{k}", found)
+    return df.select("doc_id", "line_no", F.explode(F.concat(*(f"e{k}" for k in range(len(every))))).alias("e")).select("doc_id", "line_no", "e.*")
 
 
 def line_endings(docs: DataFrame) -> DataFrame:

@@ -95,15 +95,22 @@ def literal_counts(docs: DataFrame, rules: Iterable[tuple[str, str]] = V.OCR_BAS
     return total.select((F.col("k") + 1).cast("long").alias("rule_no"), F.get(names, F.col("k")).alias("rule"), "n")
 
 
-def pattern_rules(docs: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
-    """Ordered patterns, without regard to case; replacements are in Python's notation."""
+#: Rules that are tried together: where none of them matches, none is applied.
+RULE_GROUP = 8
 
-    def change(text: Column) -> Column:
-        for pattern, to in rules:
-            text = T.sub(text, pattern, T.java_replacement(to), True)
-        return text
 
-    return map_text(docs, change)
+def pattern_rules(docs: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
+    """Ordered patterns, without regard to case; replacements are in Python's notation. A group of rules is applied, in
+    order, only to texts in which one of them matches, as one look for all of them shows; to others it would do nothing."""
+    rules = list(rules)
+    df, text = docs.withColumn("text", F.coalesce("text", F.lit(""))), F.col("text")
+    for first in range(0, len(rules), RULE_GROUP):
+        group, changed = rules[first : first + RULE_GROUP], text
+        for pattern, to in group:
+            changed = T.sub(changed, pattern, T.java_replacement(to), True)
+        some = T.has(text, T.one_of(*(f"(?:{p})" for p, _ in group)), True)
+        df = df.withColumn("text", F.when(some, changed).otherwise(text))
+    return df
 
 
 def pattern_counts(docs: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
@@ -219,7 +226,7 @@ def dice_columns(names: Column, per_row: int = 4) -> Column:
     return _rows(F.transform(entries, lambda x: T.sub(x, r"^(\d+)\s+(.+)$", "$1\t$2")), per_row)
 
 
-NAME_LIST = r"^(\*\*(?:Standard|Other|Common|First common|Second common)\*\*\s*(?:\([^)]+\))?\s*:\s*)(.+)$"
+NAME_LIST = rf"^(\*\*{T.one_of(*V.NAME_LABELS)}\*\*\s*(?:\([^)]+\))?\s*:\s*)(.+)$"
 
 
 def name_lists(docs: DataFrame) -> DataFrame:
@@ -241,8 +248,8 @@ def book_headings(docs: DataFrame) -> DataFrame:
     def change(x: Column) -> Column:
         s = T.strip(x)
         title = T.strip(F.regexp_extract(s, T.EXACT + r"^\*\*(.+?)\*\*$", 1))
-        top = T.has(title, r"^\d+") | title.isin("Appendices", "Bibliography", "Tables", "Foreword", "Outline")
-        low = title.isin("Terminology", "Pronunciation", "People's names", "A nominal history")
+        top = T.has(title, r"^\d+") | title.isin(*V.TOP_TITLES)
+        low = title.isin(*V.LOW_TITLES)
         mark = F.when(top, "# ").when(low, "### ").otherwise("## ")
         many = T.has(s, r"^\d+\s+\w+\s+\w+\s+\w+")
         pairs = (F.length(s) - F.length(F.replace(s, F.lit("  "), F.lit("")))) / 2

@@ -71,8 +71,8 @@ def quality_report(docs: DataFrame, config: BookConfig = BookConfig()) -> DataFr
 
 
 def step_summary(docs: DataFrame, config: BookConfig = BookConfig()) -> DataFrame:
-    """(step, metric, n): what each step of ``clean_book`` changes, over all documents. Texts that several metrics need are
-    kept (in memory, then on disk) for the session, or until ``spark.catalog.clearCache()``."""
+    """(step, metric, n): what each step of ``clean_book`` changes, over all documents. Lazy, and nothing is kept: each metric
+    reads the documents anew."""
     metric = lambda df, step, col: df.agg(F.coalesce(F.sum(col), F.lit(0)).cast("long").alias("n")).select(F.lit(step).alias("step"), F.lit(col).alias("metric"), "n")
     df = toc.plain_toc(docs.select("doc_id", "text"))
     out = [metric(df, "1_toc", "n_changes")]
@@ -80,19 +80,19 @@ def step_summary(docs: DataFrame, config: BookConfig = BookConfig()) -> DataFram
     out.append(metric(rewrite.image_counts(df), "2_images", "n_images"))
     df = rewrite.remove_images(df)
     out.append(rewrite.quote_stats(df).select(F.lit("3_quotes").alias("step"), F.lit("n_removed").alias("metric"), F.col("n_removed").alias("n")))
-    df = detect.remove_page_numbers(rewrite.remove_quotes(df)).persist()
+    df = detect.remove_page_numbers(rewrite.remove_quotes(df))
     out.append(metric(df, "4_page_numbers", "n_removed"))
     lines = to_lines(df)
     for name, step in (("sentences", breaks.join_broken_sentences), ("hyphens", breaks.join_hyphens), ("blanks", breaks.join_across_blanks)):
-        joined = step(lines).persist()
+        joined = step(lines)
         out.append(metric(joined.select(F.col("head").cast("int").alias("joins")), f"5_{name}", "joins"))
         lines = joined.select("doc_id", "line_no", "line")
     df = to_docs(lines)
     fixes = headers.corrections(df, config.max_header_depth).select(F.lit(1).alias("corrections"))
     out.append(metric(fixes, "6_headers", "corrections"))
-    joined = breaks.join_cleanup(to_lines(headers.correct_depth(df, config.max_header_depth))).persist()
+    joined = breaks.join_cleanup(to_lines(headers.correct_depth(df, config.max_header_depth)))
     out.append(metric(joined.select(F.col("head").cast("int").alias("joins")), "8_cleanup", "joins"))
-    df = tables.fix_prices(to_docs(joined)).persist()
+    df = tables.fix_prices(to_docs(joined))
     out.append(metric(df, "9_prices", "n_changes"))
     out.append(metric(rewrite.literal_counts(df), "10a_ocr_base", "n"))
     out.append(metric(rewrite.pattern_counts(rewrite.literal_rules(df), rewrite.additional_rules()), "10b_ocr_additional", "n"))
@@ -106,3 +106,8 @@ def second_ocr_pass(docs: DataFrame) -> DataFrame:
     """Word breaks, stops, dashes, spaces, typos and headings, in this order."""
     df = rewrite.space_after_stops(rewrite.fix_word_breaks(docs))
     return rewrite.normalize_headings(rewrite.fix_typos(rewrite.collapse_spaces(rewrite.unify_dashes(df))))
+
+
+def second_ocr_report(docs: DataFrame) -> DataFrame:
+    """What the second pass ends with: the contents of the corrected texts against their headings."""
+    return toc.toc_check(second_ocr_pass(docs))

@@ -9,15 +9,45 @@ from __future__ import annotations
 import re
 
 from foliant.functions import vocab as V
-from foliant.operators import breaks as B
-from foliant.operators import headers as H
-from foliant.operators import spell as S
-from foliant.operators import toc as C
-from foliant.operators.rewrite import NAME_LIST, additional_rules
 from foliant.plans.fixture import DUCKDB
 
 ACCENTED = "[À-ÖØ-öø-ɏ]"
 
+#: Patterns and marks of single lines, spelt out here once more (fixed values), so that a slip in an operator shows. Word
+#: lists and rules are shared.
+HEADER = r"^(#{1,10})\s+(.+)$"
+FOOTERS = (r"^#{1,6}\s+Castles Zagyg:\s*Yggsburgh\s*$", r"^#{1,6}\s+Setting,\s*History\s*and\s*Culture\s*$", r"^#{1,6}\s+Part\s+[IVX]+\s*$")
+LEVELS = (
+    (r"^#{1,6}\s+Part\s+[IVX]+:?\s*.+$", 1), (r"^#{1,6}\s+Chapter\s+\d+:?\s*.+$", 1), (r"^#{1,6}\s+Appendix\s+[A-Z]:?\s*.+$", 1),
+    (r"^#{1,6}\s+(Introduction|Background|Overview|History|Culture|Geography|Conclusion)(\s+.*)?$", 2),
+    (r"^#{1,6}\s+(Foreword|Preface|Notes?\s+for\s+.+|Table\s+of\s+Contents)$", 2),
+    (r"^#{1,6}\s+(Population|Social\s+Classes|Dress[,\s]+Style.+|Common\s+Names|Coin\s+of\s+.+|Town\s+Revenues)$", 3),
+    (r"^#{1,6}\s+(The\s+Culture\s+of|Local\s+.+\s+Nobles|Elites\s+and\s+Administration)$", 2),
+    (r"^#{1,6}\s+([A-Z][a-z]+\s+(Hills|Forest|River|Lake|Valley|Mountains?|Woods?))$", 3),
+    (r"^#{1,6}\s+(Males?|Females?|Human\s+.+\s+Names|Demi-human\s+Names)$", 4),
+)
+TITLES = (
+    r"^(Part [IVX]+|Appendix [A-Z]|Introduction|Foreword|Background|History|Setting, History and Culture|The Culture of Yggsburgh|Local Palatine Nobles|Coin of the Realm|"
+    r"Town Revenues|The Outs|Population|Social Classes|Dress, Style, Appearance and Manners|Common Names in Yggsburgh|Table Of Contents)$"
+)
+MARKERS, NOTE = ("## Table Of Contents", "# Table Of Contents", "Table Of Contents"), "The Table of Contents will likely"
+CONTENT_STARTS, FIRST_PART, BOOK_TITLE = ("Castles Zagyg:", "Foreword", "Part I", "Introduction"), "# Part I:", "Castles Zagyg: Yggsburgh"
+OPEN_ENDINGS = ("Thieves'", "(", ",", " the", " a", " an", " and", " or", " of", " in", " to", " for", " with", " from", " by", " as")
+KNOWN_STARTS = ("Guild,", "Area ", "Street", "Avenue")
+CLEANUP_STARTS = (r"^\s*[,;.]\s+", r"^\s*(, or|, and|, but|, yet|, so|, nor)\s+", r"^\s*or\s+[a-z]", r"^\s*(or frame|and other|but also|yet still)\s+")
+VALUE, MULTIPLIER = r"^[+\d.]+(\s*to\s*[+\d.]+)?%?$", r"^x\d+"
+MARKUP = (
+    (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"), (r"`[^`]+`", ""), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"#{1,6}\s+", ""),
+    (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""),
+)
+WORD = r"\b[a-zA-Z][a-zA-Z'-]*[a-zA-Z]\b|\b[a-zA-Z]\b"
+NAME_LIST = r"^(\*\*(?:Standard|Other|Common|First common|Second common)\*\*\s*(?:\([^)]+\))?\s*:\s*)(.+)$"
+SEPARATOR = r"^\s*\|?\s*(:?-{3,}:?)\s*(\|\s*(:?-{3,}:?)\s*)+\|?\s*$"
+
+
+def additional_rules() -> list[tuple[str, str]]:
+    return [*V.OCR_ADDITIONAL, *((r"\b" + re.escape(a) + r"\b", b) for a, b in V.OCR_OVERRIDES)]
+
 
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -103,9 +133,9 @@ def whole(change: str) -> str:
     return BOOK.rstrip(", ") + f" SELECT doc_id, {change} AS text FROM book"
 
 
-def pairs(pred: str, joined: str, nonblank: bool = False, drop_after_tail: bool = False, split: str = SPLIT, start: str = BOOK) -> str:
+def pairs(pred: str, joined: str, nonblank: bool = False, drop_after_tail: bool = False, split: str = SPLIT, start: str = BOOK, heads: str = "") -> str:
     """The closed form of a left-to-right pair join, rebuilt to texts. ``pred`` and ``joined``: of line, next and gap;
-    ``start``: the CTE of the texts."""
+    ``start``: the CTE of the texts; ``heads``: SQL over ``a`` in place of the texts."""
     blank = f"{strip('line')} = ''"
     w = "(PARTITION BY doc_id ORDER BY line_no)"
     if nonblank:
@@ -123,8 +153,8 @@ a AS (SELECT l.doc_id, l.line_no, l.line, t.next, coalesce(t.head, false) AS hea
  t.line_no IS NULL AS is_blank, coalesce(last_value(t.head IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.line_no ROWS UNBOUNDED PRECEDING), false) AS last_head,
  coalesce(last_value(t.tail IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.line_no ROWS UNBOUNDED PRECEDING), false) AS last_tail
  FROM l LEFT JOIN t ON t.doc_id = l.doc_id AND t.line_no = l.line_no)
-SELECT doc_id, string_agg(CASE WHEN head THEN {joined} ELSE line END, {NL} ORDER BY line_no) AS text
-FROM a WHERE NOT (CASE WHEN is_blank THEN {gone_blank} ELSE tail END) GROUP BY doc_id"""
+{heads or f"""SELECT doc_id, string_agg(CASE WHEN head THEN {joined} ELSE line END, {NL} ORDER BY line_no) AS text
+FROM a WHERE NOT (CASE WHEN is_blank THEN {gone_blank} ELSE tail END) GROUP BY doc_id"""}"""
 
 
 def structural(x: str) -> str:
@@ -145,14 +175,22 @@ def _joins() -> dict[str, str]:
     marks = ("#", "**", "*", "-", "|", ">", "```")
     now, then = rstrip("line"), strip("next")
     small = f"({has(then, r'^\p{Ll}')} AND NOT {starts(then, 'see ', 'area ')})"
-    para = f"NOT {starts(now, *marks)} AND {now} <> '' AND {then} <> '' AND NOT {starts(rstrip('next'), *marks)} AND ({ends(now, *B.OPEN_ENDINGS)} OR {starts(then, *B.KNOWN_STARTS)} OR (NOT {ends(now, '.', '!', '?', ':', ';', ')')} AND {small} AND {n_words(now)} > 3))"
+    para = f"NOT {starts(now, *marks)} AND {now} <> '' AND {then} <> '' AND NOT {starts(rstrip('next'), *marks)} AND ({ends(now, *OPEN_ENDINGS)} OR {starts(then, *KNOWN_STARTS)} OR (NOT {ends(now, '.', '!', '?', ':', ';', ')')} AND {small} AND {n_words(now)} > 3))"
     bare = lambda x: strip(f"substr({strip(x)}, 2)")
     seen = lambda x: f"(CASE WHEN starts_with({strip(x)}, '>') THEN {bare(x)} ELSE {x} END)"
-    clean = lambda x: f"({strip(x)} <> '' AND NOT starts_with({strip(x)}, '#') AND ({' OR '.join(has(seen(x), '(?i)' + p) for p in B.CLEANUP_STARTS)}))"
+    clean = lambda x: f"({strip(x)} <> '' AND NOT starts_with({strip(x)}, '#') AND ({' OR '.join(has(seen(x), '(?i)' + p) for p in CLEANUP_STARTS)}))"
     taken = f"CASE WHEN starts_with({strip('next')}, '>') THEN {bare('next')} ELSE {strip('next')} END"
-    steps = pairs(sentence, SPACED, True, True)
-    steps = pairs(hyphen, f"{rstrip('line')} || {lstrip('next')}", start=f"WITH book AS ({steps}), ")
-    steps = pairs(across, SPACED, True, start=f"WITH book AS ({steps}), ")
+    count = "SELECT count(*) AS n FROM a WHERE head"
+    glued = f"{rstrip('line')} || {lstrip('next')}"
+    first = pairs(sentence, SPACED, True, True)
+    second = pairs(hyphen, glued, start=f"WITH book AS ({first}), ")
+    third = f"WITH book AS ({second}), "
+    steps = pairs(across, SPACED, True, start=third)
+    counts = {
+        "n_sentences": pairs(sentence, SPACED, True, True, heads=count), "n_hyphens": pairs(hyphen, glued, start=f"WITH book AS ({first}), ", heads=count),
+        "n_blanks": pairs(across, SPACED, True, start=third, heads=count), "n_cleanup": pairs(clean("next"), "NULL", heads=count),
+        "cleanup_fixes": pairs(clean("next"), "NULL", heads=f"SELECT doc_id, line_no, line, next, {rstrip('line')} || ' ' || ({taken}) AS fixed FROM a WHERE head"),
+    }
     return {
         "paragraphs": steps,
         "sentence_joins": pairs(sentence, SPACED, True, True),
@@ -160,6 +198,7 @@ def _joins() -> dict[str, str]:
         "blank_line_joins": pairs(across, SPACED, True),
         "paragraph_joins": pairs(para, f"{now} || ' ' || {then}"),
         "cleanup_joins": pairs(clean("next"), f"{rstrip('line')} || ' ' || ({taken})"),
+        **{f"_{k}": v for k, v in counts.items()},
         "cleanup_candidates": BOOK.rstrip(", ") + f" SELECT doc_id, len(list_filter({SPLIT}[2:], lambda x: {clean('x')})) AS n FROM book",
     }
 
@@ -214,19 +253,57 @@ SELECT doc_id, coalesce(string_agg(line, {NL} ORDER BY line_no) FILTER (WHERE NO
     return out
 
 
+BREAKS = f"""cand AS (SELECT doc_id, line_no, line, p AS pos,
+  CASE WHEN contains('.!?', substr(line, p, 1)) AND {has('substr(line, p + 1)', r'^\s+[A-Z]')} THEN 'sentence ending'
+   WHEN {has('substr(line, p + 1)', r'^[,;]\s+(?:and|but|or|however|therefore|thus|hence|moreover|furthermore|nevertheless|nonetheless)\s+')} THEN 'clause break'
+   WHEN {has('substr(line, p + 1)', r'^---\s')} OR (substr(line, p, 1) <> '-' AND {has('substr(line, p + 1)', r'^--\s')}) THEN 'em-dash break' END AS reason
+ FROM (SELECT doc_id, line_no, line, unnest(range(41, length(line))) AS p FROM long)),
+places AS (SELECT doc_id, line_no, pos, reason, 1 AS kind FROM cand WHERE reason IS NOT NULL),
+ws AS (SELECT doc_id, line_no, {words('line')} AS ws FROM long),
+ends AS (SELECT doc_id, line_no, unnest(range(1, len(ws))) AS k, ws FROM ws),
+every AS (SELECT * FROM places UNION ALL SELECT doc_id, line_no, CAST(list_sum(list_transform(ws[1:k], lambda w: length(w) + 1)) AS BIGINT), 'word boundary', 2 FROM ends),
+taken AS (SELECT doc_id, line_no, kind, CAST(0 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS reason FROM (SELECT DISTINCT doc_id, line_no, kind FROM every)
+ UNION ALL SELECT t.doc_id, t.line_no, t.kind, min(b.pos), arg_min(b.reason, b.pos) FROM taken t JOIN every b ON b.doc_id = t.doc_id AND b.line_no = t.line_no AND b.kind = t.kind AND b.pos - t.pos > 150
+  GROUP BY t.doc_id, t.line_no, t.kind, t.pos),
+chosen AS (SELECT doc_id, line_no, kind, list(pos ORDER BY pos) AS breaks, list(reason ORDER BY pos) AS reasons FROM taken WHERE pos > 0 GROUP BY doc_id, line_no, kind),
+best AS (SELECT doc_id, line_no, arg_min(breaks, kind) AS breaks, arg_min(reasons, kind) AS reasons FROM chosen GROUP BY doc_id, line_no),
+broken AS (SELECT l.doc_id, l.line_no, l.length, l.severity, l.line, coalesce(b.breaks, []) AS breaks, coalesce(b.reasons, []) AS reasons FROM rated l LEFT JOIN best b ON b.doc_id = l.doc_id AND b.line_no = l.line_no)"""
+
+
 def _long() -> dict[str, str]:
     s = strip("line")
+    plain = f"NOT starts_with({s}, '```') AND NOT {has(s, r'^\|.*\|$')} AND NOT {has(s, '^[-*_]{3,}$')}"
+    rating = "rated AS (SELECT *, CASE WHEN length > 300 THEN 'severe' WHEN length > 225 THEN 'moderate' ELSE 'minor' END AS severity FROM long)"
+    text_only = f"""{BOOK} {lines(READ)}, coded AS (SELECT *, sum(CASE WHEN starts_with({s}, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS code FROM lines),
+long AS (SELECT doc_id, line_no, length({rstrip('line')}) AS length FROM coded WHERE NOT code AND {plain} AND NOT {has(s, r'^#{1,6}\s+')} AND length({rstrip('line')}) > 150), {rating}"""
+    whole = f"""WITH RECURSIVE {lines(READ, 'documents')}, long AS (SELECT doc_id, line_no, {rstrip('line')} AS line, length({rstrip('line')}) AS length FROM lines WHERE {plain} AND length({rstrip('line')}) > 150), {rating}, {BREAKS}"""
+    quote = "starts_with({0}, '>')".format(s)
+    start = f"CASE WHEN {quote} THEN length({group('line', r'^(\s*> *)', 1)}) ELSE 0 END"
+    prefix = f"CASE WHEN {quote} THEN substr(line, 1, length(line) - length({lstrip('line')})) || '> ' ELSE '' END"
+    part = strip("substr(body, ats[i] + 1, coalesce(ats[i + 1], length(body)) - ats[i])")
+    fixes = f"""{whole}, b AS (SELECT doc_id, line_no, line, breaks, {start} AS st, {prefix} AS prefix FROM broken),
+c AS (SELECT *, substr(line, st + 1) AS body FROM b),
+d AS (SELECT *, list_concat([0::BIGINT], list_filter(list_transform(breaks, lambda p: p - st), lambda p: p > 0 AND p < length(body))) AS ats FROM c)
+SELECT doc_id, line_no, CASE WHEN len(breaks) = 0 THEN line ELSE array_to_string(list_transform(list_filter(list_transform(range(1, len(ats) + 1), lambda i: {part}), lambda x: x <> ''), lambda x: prefix || x), {NL} || {NL}) END AS new_line FROM d"""
     base = f"""WITH {lines(READ, 'documents')}, long AS (SELECT doc_id, line_no, length({rstrip('line')}) AS length FROM lines
  WHERE NOT starts_with({s}, '```') AND NOT {has(s, r'^\|.*\|$')} AND NOT {has(s, '^[-*_]{3,}$')} AND length({rstrip('line')}) > 150),
 rated AS (SELECT *, CASE WHEN length > 300 THEN 'severe' WHEN length > 225 THEN 'moderate' ELSE 'minor' END AS severity FROM long)"""
-    return {"long_lines": f"{base} SELECT * FROM rated", "long_line_severity": f"{base} SELECT severity, count(*) AS n FROM rated GROUP BY severity"}
+    ints = "list_transform(breaks, lambda p: CAST(p AS INTEGER))"
+    return {
+        "long_lines": f"{base} SELECT * FROM rated", "long_line_severity": f"{base} SELECT severity, count(*) AS n FROM rated GROUP BY severity",
+        "long_lines_of_text": f"{text_only} SELECT * FROM rated",
+        "_text_severity": f"{text_only} SELECT severity, count(*) AS n FROM rated GROUP BY severity",
+        "long_line_breaks": f"{whole} SELECT doc_id, line_no, length, severity, {ints} AS breaks, reasons FROM broken",
+        "long_line_fixes": fixes,
+        "long_line_report": f"{whole} SELECT doc_id, line_no, severity, length, len(breaks) AS n_breaks, array_to_string(reasons, ', ') AS reasons, substr(line, 1, 100) || CASE WHEN length > 100 THEN '...' ELSE '' END AS preview FROM broken",
+    }
 
 
-def _words() -> dict[str, str]:
+def _words(source: str = "documents", head: str = "WITH ") -> dict[str, str]:
     text = pad("text")
-    for pattern, to in S.MARKUP:
-        text = sub(text, pattern, to.replace("$", "\\"))
-    base = f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower({text}), {q(S.WORD)}) AS ws FROM documents),
+    for pattern, to in MARKUP:
+        text = sub(text, pattern, to)
+    base = f"""{head}t AS (SELECT doc_id, regexp_extract_all(lower({text}), {q(WORD)}) AS ws FROM {source}),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
 c AS (SELECT word, count(*) AS n, min((doc_id, pos)) AS first FROM w GROUP BY word)"""
     same = "|".join(f"{x}{{4,}}" for x in "abcdefghijklmnopqrstuvwxyz'-")
@@ -239,6 +316,10 @@ SELECT word, doc_id, line_no, context FROM f QUALIFY row_number() OVER (PARTITIO
         "word_total": f"{base} SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS distinct FROM c",
         "spell_top": f"{base} SELECT word, n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM c WHERE {odd} ORDER BY n DESC, first LIMIT 100",
         "word_contexts": contexts,
+        "_suspects": f"{base} SELECT count(*) AS n FROM c WHERE {odd}",
+        "spelling_report": f"""{base}, top AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM c WHERE {odd} ORDER BY n DESC, first LIMIT 50), {lines(SPLIT, source)},
+hits AS (SELECT rank, word, n, doc_id, line_no, concat_ws({NL}, prev, line, next) AS context FROM lines JOIN top ON contains(lower(line), word))
+SELECT rank, word, n, row_number() OVER (PARTITION BY rank ORDER BY doc_id, line_no) AS k, doc_id, line_no, context FROM hits QUALIFY k <= 3""",
     }
 
 
@@ -311,6 +392,7 @@ def _texts() -> dict[str, str]:
         "ocr_additional": whole(unpad(chain(additional_rules()))),
         "ocr_additional_counts": chain_counts(additional_rules()),
         "ocr_final": whole(sub(unpad(chain(list(V.OCR_FINAL))), "[\\x{200B}-\\x{200D}\\x{FEFF}\\x{00A0}]", "")),
+        "_ocr_final_rules": whole(unpad(chain(list(V.OCR_FINAL)))),
         "ocr_final_counts": chain_counts(list(V.OCR_FINAL)),
         "typos": whole(unpad(chain(typos, False))),
         "dashes": whole(dashes),
@@ -321,7 +403,7 @@ def _texts() -> dict[str, str]:
 
 
 def _headers() -> dict[str, str]:
-    level, title = f"length({group('line', H.HEADER, 1)})", strip(group("line", H.HEADER, 2))
+    level, title = f"length({group('line', HEADER, 1)})", strip(group("line", HEADER, 2))
     heads = f"{BOOK} {lines()}, h AS (SELECT doc_id, line_no, {level} AS level, {title} AS title FROM lines WHERE {level} > 0)"
     step = "CASE WHEN y > a[-1] + 1 AND a[-1] < 4 THEN a[-1] + 1 ELSE y END"
     fixed = f"""{heads}, agg AS (SELECT doc_id, list(line_no ORDER BY line_no) AS nos, list(level ORDER BY line_no) AS lv, list(title ORDER BY line_no) AS ti FROM h GROUP BY doc_id),
@@ -330,8 +412,8 @@ k AS (SELECT doc_id, unnest(nos) AS line_no, unnest(lv) AS was, unnest(c) AS lev
     s = strip("line")
     own = f"length({group('line', r'^(#{1,6})\s+', 1)})"
     cur, text = f"length({group(s, r'^(#{1,6})\s+(.+)$', 1)})", group(s, r"^(#{1,6})\s+(.+)$", 2)
-    footer = " OR ".join(has(s, "(?i)" + p) for p in H.FOOTERS)
-    wanted = "CASE " + " ".join(f"WHEN {has(s, '(?i)' + p)} THEN {lv}" for p, lv in H.LEVELS) + f" WHEN {own} > 0 THEN {own} ELSE 2 END"
+    footer = " OR ".join(has(s, "(?i)" + p) for p in FOOTERS)
+    wanted = "CASE " + " ".join(f"WHEN {has(s, '(?i)' + p)} THEN {lv}" for p, lv in LEVELS) + f" WHEN {own} > 0 THEN {own} ELSE 2 END"
     issue = f"""{BOOK} {lines(READ)}, r AS (SELECT doc_id, line_no, line, {s} AS original, {cur} AS cur, {text} AS title, ({footer}) AS foot, {wanted} AS wanted FROM lines),
 i AS (SELECT doc_id, line_no, original, CASE WHEN foot THEN '[REMOVE - Footer artifact]' ELSE repeat('#', wanted) || ' ' || title END AS suggested,
  CASE WHEN foot THEN 'footer_artifact' ELSE 'hierarchy_fix' END AS issue_type, CASE WHEN foot THEN 'high' WHEN abs(cur - wanted) <= 2 THEN 'medium' ELSE 'low' END AS confidence
@@ -361,8 +443,8 @@ def _contents() -> dict[str, str]:
     dots = lambda t, p, w, lo, hi: f"({t}) || ' ' || repeat('.', least({hi}, greatest({lo}, {w} - length({t}) - length({p}) - 2))) || ' ' || ({p})"
     flat = sub(s, r"\s+", " ")
     entry = r"^(.*?\S)\s+(\d{1,3})$"
-    plain = f"""{BOOK} {lines(READ)}, st AS (SELECT doc_id, coalesce(min(line_no) FILTER (WHERE {among(s, list(C.MARKERS))}), min(line_no) FILTER (WHERE lower({s}) = 'table of contents')) AS a FROM lines GROUP BY doc_id),
-en AS (SELECT l.doc_id, st.a, min(line_no) AS b FROM lines l JOIN st ON st.doc_id = l.doc_id AND l.line_no > st.a WHERE {starts(s, C.NOTE, *C.CONTENT_STARTS)} GROUP BY l.doc_id, st.a),
+    plain = f"""{BOOK} {lines(READ)}, st AS (SELECT doc_id, coalesce(min(line_no) FILTER (WHERE {among(s, list(MARKERS))}), min(line_no) FILTER (WHERE lower({s}) = 'table of contents')) AS a FROM lines GROUP BY doc_id),
+en AS (SELECT l.doc_id, st.a, min(line_no) AS b FROM lines l JOIN st ON st.doc_id = l.doc_id AND l.line_no > st.a WHERE {starts(s, NOTE, *CONTENT_STARTS)} GROUP BY l.doc_id, st.a),
 blk AS (SELECT l.doc_id, l.line_no, {s} AS was, {flat} AS flat FROM lines l JOIN en ON en.doc_id = l.doc_id AND l.line_no > a AND l.line_no < b WHERE {s} <> '' AND NOT {has(s, r'^\d{1,3}$')}),
 tp AS (SELECT *, {number(strip(group('flat', entry, 1)))} AS t0, {group('flat', entry, 2)} AS p FROM blk),
 tt AS (SELECT *, CASE WHEN length(t0) > 60 THEN {rstrip('substr(t0, 1, 60)')} ELSE t0 END AS t FROM tp),
@@ -374,14 +456,14 @@ ch AS (SELECT doc_id, count(*) AS n FROM ent WHERE was <> now GROUP BY doc_id)
 SELECT book.doc_id, coalesce(txt.text, book.text) AS text, coalesce(ch.n, 0) AS n_changes FROM book LEFT JOIN txt ON txt.doc_id = book.doc_id LEFT JOIN ch ON ch.doc_id = book.doc_id"""
 
     def region(closes: str) -> str:
-        mark = f"CASE WHEN {s} = {q(C.MARKERS[0])} THEN 1 WHEN {closes} THEN 0 END"
+        mark = f"CASE WHEN {s} = {q(MARKERS[0])} THEN 1 WHEN {closes} THEN 0 END"
         return f"{BOOK} {lines(READ)}, m AS (SELECT doc_id, line_no, line, {mark} AS mark FROM lines), r AS (SELECT *, mark IS NULL AND coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 0) = 1 AS inside FROM m)"
 
     one = r"^(.+?)\s+\.{3,}\s+(\d+)\s*$"
     t, p = strip(group(s, one, 1)), group(s, one, 2)
-    dotted = f"{region(f'''({starts(s, '# Part I:')} OR {s} = 'Castles Zagyg: Yggsburgh')''')} SELECT doc_id, string_agg(CASE WHEN inside AND (contains(line, '............') OR {has(s, '[0-9]$')}) AND {p} <> '' THEN {dots(t, p, 80, 3, 60)} ELSE line END, {NL} ORDER BY line_no) AS text FROM r GROUP BY doc_id"
+    dotted = f"{region(f'''({starts(s, FIRST_PART)} OR {s} = {q(BOOK_TITLE)})''')} SELECT doc_id, string_agg(CASE WHEN inside AND (contains(line, '............') OR {has(s, '[0-9]$')}) AND {p} <> '' THEN {dots(t, p, 80, 3, 60)} ELSE line END, {NL} ORDER BY line_no) AS text FROM r GROUP BY doc_id"
     each = r"([^.]+?)\.{3,}\s*(\d+)"
-    crowded = f"""{region(starts(s, C.NOTE))}, e AS (SELECT *, list_transform(regexp_extract_all({s}, {q(each)}, 1), lambda y: {strip('y')}) AS ts, regexp_extract_all({s}, {q(each)}, 2) AS ps FROM r),
+    crowded = f"""{region(starts(s, NOTE))}, e AS (SELECT *, list_transform(regexp_extract_all({s}, {q(each)}, 1), lambda y: {strip('y')}) AS ts, regexp_extract_all({s}, {q(each)}, 2) AS ps FROM r),
 f AS (SELECT *, inside AND contains(line, '..................') AND len(ts) > 0 AS fits, list_filter(list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN ts[i] <> '' THEN {dots('ts[i]', 'ps[i]', 70, 5, 50)} || '  ' END), lambda y: y IS NOT NULL) AS made FROM e)
 SELECT doc_id, string_agg(CASE WHEN fits THEN array_to_string(made, {NL}) ELSE line END, {NL} ORDER BY line_no) FILTER (WHERE NOT (fits AND len(made) = 0)) AS text FROM f GROUP BY doc_id"""
 
@@ -394,7 +476,7 @@ z AS (SELECT *, seq <> list_filter(heads, lambda h: list_contains(seq, h)) AS or
 
     extra = "list_filter(heads, lambda h: NOT list_contains(toc, h) AND len(list_filter(toc, lambda t: starts_with(h, string_split(t, ' [')[1]))) > 0)"
     letters = f"list_filter(list_transform(list_filter(toc, lambda t: starts_with(lower(t), 'appendix')), lambda t: {group('t', r'(?i)appendix\s+([A-Z])\b', 1)}), lambda t: t <> '')"
-    v = has("n", "(?i)" + B.VALUE) + " OR " + has("n", "(?i)" + B.MULTIPLIER)
+    v = has("n", "(?i)" + VALUE) + " OR " + has("n", "(?i)" + MULTIPLIER)
     w = "(PARTITION BY doc_id ORDER BY line_no)"
     notes = f"""{BOOK} {lines(f"string_split({sub('text', '[_:]', '')}, {NL})")}, a AS (SELECT doc_id, line_no, {strip('line')} AS line FROM lines WHERE {strip('line')} <> ''),
 b AS (SELECT *, coalesce(lead(line) OVER {w}, '') AS n, first_value(line) OVER {w} AS category, row_number() OVER {w} AS k FROM a),
@@ -411,22 +493,13 @@ rows AS (SELECT doc_id, line_no, category, section, line AS descriptor, n AS mul
         "toc_check": f"{compare(lambda y: y)} SELECT doc_id, len(toc) AS toc_count, len(heads) AS headings_count, array_to_string(missing, ' | ') AS missing, order_mismatch FROM z",
         "toc_vs_headings": f"{compare(lambda y: strip(sub(y, r'\s+', ' ')))} SELECT doc_id, len(toc) AS toc_entries, len(heads) AS heading_entries, array_to_string(missing, ' | ') AS missing, array_to_string(({extra})[1:25], ' | ') AS extra, order_mismatch, {letters} <> list_sort({letters}) AS numbering_warn FROM z",
         "notes": f"{notes} SELECT * FROM rows",
+        "notes_markdown": f"""{notes}, p AS (SELECT *, coalesce(lag(section) OVER {w}, '') AS before FROM rows)
+SELECT doc_id, '# ' || any_value(category) || {NL} || {NL} || string_agg(CASE WHEN section <> before THEN '### ' || section || {NL} || {NL} || '| Descriptor | Multiplier |' || {NL} || '| :--- | :--- |' || {NL} ELSE '' END
+ || '| ' || descriptor || ' | ' || multiplier || ' |' || {NL}, '' ORDER BY line_no) AS text FROM p GROUP BY doc_id""",
         "notes_tsv": f"{notes} SELECT doc_id, 'Category' || chr(9) || 'Section' || chr(9) || 'Descriptor' || chr(9) || 'Multiplier' || {NL} || string_agg(concat_ws(chr(9), category, section, descriptor, multiplier), {NL} ORDER BY line_no) AS text FROM rows GROUP BY doc_id",
     }
 
 
-def _after(first: str, then: str) -> str:
-    """``then`` over the texts that ``first`` yields."""
-    head = BOOK.rstrip(", ")
-    if not then.startswith(head):
-        raise ValueError("this SQL doesn't begin with the book")
-    return f"WITH book AS ({first})" + then[len(head) :]
-
-
 def oracle_sql() -> dict[str, str]:
-    found = _joins() | _issues() | _long() | _words() | _texts() | _headers() | _contents()
-    layout = found["toc_plain"]
-    for step in ("images", "quotes", "page_numbers", "paragraphs", "header_depth", "cleanup_joins"):
-        # the SQL of several paragraph steps is nested; its innermost text is the book
-        layout = found[step].replace(DUCKDB, layout, 1) if step == "paragraphs" else _after(layout, found[step])
-    return found | {"clean_layout": layout}
+    """Names that begin with an underscore are pieces of others."""
+    return _joins() | _issues() | _long() | _words() | _texts() | _headers() | _contents()

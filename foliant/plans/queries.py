@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import vocab as V
 from foliant.operators import breaks, detect, headers, rewrite, spell, tables, toc
 from foliant.operators.lines import to_docs, to_lines
-from foliant.plans import book
+from foliant.plans import book, reports
 from foliant.plans.fixture import damaged_book
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,4 +112,16 @@ def queries() -> dict[str, Query]:
         "clean_book": _book(book.clean_book),
         "book_steps": _book(book.step_summary),
         "book_quality": _book(book.quality_report),
+        "long_lines_of_text": _book(lambda d: detect.long_lines(d, ignore_headers=True, ignore_code=True).drop("line")),
+        "mended_words": _book(detect.mend_mid_words),
+        "error_list": _book(detect.error_list),
+        "second_pass_toc": _book(book.second_ocr_report),
+        "header_report": _book(reports.header_report),
+        "quote_changes": _book(reports.quote_changes),
+        "cleanup_report": _book(reports.cleanup_report),
+        "long_line_report": _raw(reports.long_line_report),
+        "spelling_report": _raw(reports.spelling_report),
+        "ocr_additional_report": _book(lambda d: reports.rule_report(d, rewrite.additional_rules())),
+        "ocr_final_report": _book(lambda d: reports.rule_report(d, V.OCR_FINAL)),
+        "book_status": _book(lambda d: reports.status_lines(book.step_summary(d))),
     }

@@ -264,3 +264,40 @@ def test_regions_and_levels_of_a_long_document(spark):
         else:
             bad += x.count("|") != head
     assert got == bad
+
+
+def test_mend_mid_words(spark):
+    """From the last line to the first: a word in three parts, a quote's marker, a line that loses its only word."""
+    t = ["He is socially con\nscious of\nit", "A lone exam\nple\nIt stays", "> some parag\n> raph follows", "con\n\nscious", "# heading abc\ndefgh", "long exam\npleswor\nldwide end", "", "one line"]
+    assert texts(detect.mend_mid_words(docs(spark, *t))) == [
+        "He is socially conscious\nof\nit", "A lone example\nIt stays", "> some paragraph\n> follows", "con\n\nscious", "# heading abc\ndefgh", "long examplesworldwide\nend", "", "one line",
+    ]
+
+
+def test_error_list(spark):
+    got = detect.error_list(docs(spark, "a saltier is  here\nnext “x” line"))
+    assert sorted((r["line_no"], r["at"], r["rule"], r["detail"]) for r in got.collect()) == [
+        (1, 2, "possible fix", "saltier → saltire"), (1, 12, "multiple spaces", "  "), (1, 12, "possible fix", "   →  "),
+        (2, 5, "non-ASCII character", "“"), (2, 5, "possible fix", '“ → "'), (2, 7, "non-ASCII character", "”"), (2, 7, "possible fix", '” → "'),
+    ]
+    assert {r["context"] for r in got.where("rule = 'multiple spaces'").collect()} == {"...a saltier is  here\nnext “x” line..."}
+
+
+def test_rule_groups_change_nothing_else(spark, monkeypatch):
+    """Rules tried in groups give what the chain of single rules gives, also where one rule makes another match."""
+    rules = [("aa", "b"), ("bb", "c"), (r"\s+c", " d"), ("x(y)", r"\1"), ("dd", "aa")]
+    t = ["aaaa", "AA bb", "xy xy", "d d", "q", "", None]
+    single = docs(spark, *t)
+    for rule in rules:
+        single = rewrite.pattern_rules(single, [rule])
+    for size in (1, 2, 8):
+        monkeypatch.setattr(rewrite, "RULE_GROUP", size)
+        assert texts(rewrite.pattern_rules(docs(spark, *t), rules)) == texts(single)
+
+
+def test_status_lines(spark):
+    from foliant.plans import reports
+
+    df = spark.createDataFrame([("1_toc", "n", 3, None), ("2_images", "n", 0, "no such file"), ("1_toc", "m", 1, None)], "step string, metric string, n long, error string")
+    assert {r["line"] for r in reports.status_lines(df).collect()} == {"- 1_toc: OK", "- 2_images: ERROR (error: no such file)"}
+    assert {r["line"] for r in reports.status_lines(df.drop("error")).collect()} == {"- 1_toc: OK", "- 2_images: OK"}

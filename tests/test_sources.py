@@ -1,6 +1,7 @@
 """Files in and out, settings, and the stream."""
 
 import json
+import shutil
 
 from foliant.plans.book import BookConfig
 from foliant.sources import files
@@ -27,12 +28,20 @@ def test_rules_and_settings(tmp_path):
     (tmp_path / "p.toml").write_text('[tool.book-pipeline]\nmax_header_depth = 3\nother = 1\n')
     assert files.read_config(str(tmp_path / "p.toml")) == BookConfig(max_header_depth=3)
     assert files.read_config(str(tmp_path / "none.toml")) == BookConfig()
+    files.write_config(str(tmp_path / "p.toml"), max_header_depth=5, out_suffix="-x")
+    assert files.read_config(str(tmp_path / "p.toml")) == BookConfig(max_header_depth=5, out_suffix="-x") and "other = 1" in (tmp_path / "p.toml").read_text()
+    (tmp_path / "q.toml").write_text('[project]\nname = "a"\n')
+    files.write_config(str(tmp_path / "q.toml"), long_line_threshold=99)
+    assert files.read_config(str(tmp_path / "q.toml")) == BookConfig(long_line_threshold=99) and 'name = "a"' in (tmp_path / "q.toml").read_text()
 
 
 def test_versions_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert [files.write_versioned(df, str(tmp_path / "out")) for _ in range(3)] == [1, 2, 3]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    shutil.rmtree(tmp_path / "out/run_version=2")
+    assert [files.write_versioned(df, str(tmp_path / "out"), first_gap=True) for _ in range(2)] == [2, 4]
+    assert files.versioned_names("book", 4) == ("book_header_corrected_v4.md", "book_header_corrected_report_v4.md")
     files.write_summary(spark.createDataFrame([("s", "m", 1)], "step string, metric string, n long"), str(tmp_path / "sum"))
     line = spark.read.text(str(tmp_path / "sum")).first()[0]
     assert json.loads(line) == {"step": "s", "metric": "m", "n": 1}
