@@ -218,7 +218,9 @@ def tokenizer(path: str) -> PairIndexBPE:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` (doc_id, text) with doc_id, ids array<int> and decoded string: what a training job reads. No shuffle.
 
-    A null text is empty and has no ids. Repeated rows are encoded each. Other columns are not read.
+    A null or empty text has no ids and decodes to an empty string. A very long text is encoded whole, as a step of its
+    own. Of merges that tie at one place the leftmost is made, as the library does. Repeated rows are encoded each; an
+    empty table gives an empty result. Other columns are not read, so clashing names do no harm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +239,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """One row a document: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the
-    text that the ids decode to, in UTF-8). Encodes as ``encode`` does and keeps digests in place of the ids."""
+    text that the ids decode to, in UTF-8). Encodes as ``encode`` does, nulls, long texts and repeated rows included, and
+    keeps digests in place of the ids; without ids both are digests of an empty string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)

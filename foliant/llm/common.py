@@ -35,18 +35,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that lost executors cost no recomputation."""
+    """``df`` computed once and kept in the shared folder, so that lost executors cost no recomputation. The files go with
+    the session's last reference to them where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/foliant-tables/{spark.sparkContext.applicationId}"
+
+
 def table(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a compressed column table: for the larger intermediate results."""
-    path = f"{shared_dir(df.sparkSession)}/foliant-tables/{uuid.uuid4().hex}"
+    """As ``cut``, as a compressed column table: for the larger intermediate results. See ``drop_tables``."""
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables. For when the results that were built on them have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with at most ``limit`` bytes in ``column`` each, or one row."""
     n = batch.num_rows

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import cut, tidy
 
-#: Links that one step of the local contraction holds at most.
+#: Links that one step of the local contraction holds at most, and up to which one task finds all components.
 STEP_LINKS = 200_000
 
 
@@ -59,16 +59,31 @@ def contract(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(tidy(run), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of every node of all links that a task gets."""
+    held = [[batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1)] for batch in batches]
+    if held:
+        node, root = forest(*(np.concatenate(x) for x in zip(*held)))
+        tops = np.unique(root)
+        columns = [np.concatenate((node, tops)), np.concatenate((root, tops))]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["node", "component"])
+
+
+def components(links: DataFrame, forests: bool = False) -> DataFrame:
     """(node, component) for every node of the links (a, b), whole numbers: component is the least node reachable.
+    ``forests``: the links of each task are a spanning forest already.
 
-    Alternates two steps until nothing changes: every node links its greater neighbours to the least one, then its lesser
+    Up to STEP_LINKS links, as counted after tasks have contracted their own, are one task's work. Beyond, two steps
+    alternate until nothing changes: every node links its greater neighbours to the least one, then its lesser
     neighbours to the least one (large star, small star). Each round is kept in the shared folder, so a lost executor
     costs no earlier round. Rounds are few: about the logarithm of the longest chain. The steps need the least neighbour
     of a node alone, an aggregate that tasks prepare before the shuffle; the joins are split by Spark where a node has
     very many links. Links of a node to itself and repeated links do no harm; nulls must not occur.
     """
-    edges = cut(contract(links.where("a <> b")).distinct())
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = cut((links if forests else contract(links)).distinct())
+    if edges.count() <= STEP_LINKS:
+        return edges.coalesce(1).mapInArrow(tidy(_whole), "node long, component long")
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))

@@ -23,7 +23,7 @@ from foliant.llm.common import cut, mix, spans_hash, steps, text_bytes, tidy
 
 WINDOW = 13
 SIMILARITY = 0.8
-#: Items with fewer words are not looked for: any text has them by chance.
+#: Items with fewer words are a class of their own (``short``): they are found whole, but clean texts have them by chance.
 MIN_WORDS = 5
 WEIGHT, MASKS = 6, 4
 #: Words of all items together up to which they go along to every task (some 50 bytes a word with its seeds).
@@ -106,7 +106,7 @@ class Items:
         by_words: dict[bytes, int] = {}
         for k in sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k])):
             own = words[bounds[k] : bounds[k + 1]]
-            if len(own) >= MIN_WORDS:
+            if len(own):
                 by_words.setdefault(own.tobytes(), k)
         rows = sorted(by_words.values())
         self.ids = [ids[k] for k in rows]
@@ -136,6 +136,9 @@ class Items:
         self.filter = np.zeros(1 << max(16, int(np.ceil(np.log2(max(1, len(self.seed))))) + 3), dtype=bool)
         self.filter[(self.seed & np.uint64(len(self.filter) - 1)).astype(np.int64)] = True
 
+    def size(self, item: int) -> int:
+        return int(self.bounds[item + 1] - self.bounds[item])
+
     def hits(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, shift) of every hit, each once; item position + shift = word position. The filter passes all
         hashes of the benchmark and few others; the rest of the join is by binary search."""
@@ -185,15 +188,18 @@ class Items:
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, part_words: int = BROADCAST_WORDS) -> DataFrame:
-    """(doc_id, item_id, covered, best): one row for each document and benchmark item that overlap.
+    """(doc_id, item_id, covered, best, short): one row for each document and benchmark item that overlap; ``covered`` is
+    the item's words in windows that agree enough, ``best`` the agreeing words of the best window.
 
     The benchmark is counted first. Up to ``part_words`` words it goes along to every task, and the documents are read
     once and not shuffled. A larger benchmark is taken in parts of that size, each against all documents, so that no task
     ever holds more; the work grows with the parts, the memory does not.
 
-    Null texts have no words. Items that repeat others' words are reported under the least item_id of these; items of
-    fewer than MIN_WORDS words are not looked for. Repeated documents give the same rows, which are reported once.
-    Other columns are not read.
+    Items of fewer than MIN_WORDS words are found where all their words stand in a row, and are ``short``; items without
+    words are nowhere. Null and empty texts have no words. A very long text is searched whole, as a step of its own. Items
+    that repeat others' words are reported under the least item_id of these, a null one last. Repeated documents give the
+    same rows, which are reported once; of several ways to lay an item over a document the best counts. An empty table of
+    either kind gives no rows. Other columns are not read, so clashing names do no harm.
     """
     return _overlaps(docs.select("doc_id", "text"), ["doc_id"], benchmark, part_words)
 
@@ -231,19 +237,23 @@ def _overlaps(rows: DataFrame, keys: list[str], benchmark: DataFrame, part_words
                     own = [part.column(c).take(at) for c in keys]
                     item = pa.array([known.ids[f[1]] for f in found], got.schema.field("item_id").type)
                     longs = [pa.array([f[j] for f in found], pa.int64()) for j in (2, 3)]
-                    yield pa.RecordBatch.from_arrays([*own, item, *longs], [*keys, "item_id", "covered", "best"])
+                    short = pa.array([known.size(f[1]) < MIN_WORDS for f in found], pa.bool_())
+                    yield pa.RecordBatch.from_arrays([*own, item, *longs, short], [*keys, "item_id", "covered", "best", "short"])
 
-        found = rows.mapInArrow(tidy(run), f"{key_types}, item_id {item_type}, covered long, best long")
+        found = rows.mapInArrow(tidy(run), f"{key_types}, item_id {item_type}, covered long, best long, short boolean")
         out = found if out is None else out.union(found)
-    return out.groupBy(*keys, "item_id").agg(F.max("covered").alias("covered"), F.max("best").alias("best"))
+    return out.groupBy(*keys, "item_id").agg(F.max("covered").alias("covered"), F.max("best").alias("best"), F.max("short").alias("short"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """``docs`` without the rows whose text overlaps any item. Rows are known by doc_id and a hash of the text, so a clean
-    row stays where another text has the same id, or a null one. What to drop is kept in the shared folder and counted;
-    little is broadcast, so the texts are not shuffled; much is joined."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = BROADCAST_IDS, drop_short: bool = False) -> DataFrame:
+    """``docs`` without the rows whose text overlaps an item, as ``find_overlaps`` defines it; short items count only with
+    ``drop_short``. Rows are known by doc_id and a hash of the text, so a clean row stays where another text has the same
+    id, or a null one; repeated rows go or stay together. Null and empty texts stay, empty tables do no harm, and columns
+    stay as they are; names that begin with two underscores are the operator's. What to drop is kept in the shared folder
+    and counted; little is broadcast, so the texts are not shuffled; much is joined."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("__t"), "text")
     found = _overlaps(rows, ["doc_id", "__t"], benchmark, BROADCAST_WORDS)
+    found = found if drop_short else found.where("NOT short")
     bad = cut(found.select(F.col("doc_id").alias("__bad"), F.col("__t").alias("__bad_text")).distinct())
     n = bad.count()
     on = F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64("text") == F.col("__bad_text"))

@@ -12,8 +12,12 @@ from foliant.llm.common import cut
 
 #: A line on more than this share of its host's pages is boilerplate ...
 MAX_RATIO = 0.05
-#: ... if it is on this many of them at least: on a small host chance alone reaches the ratio.
+#: ... if it is on this many of them at least: on a small host chance, or two copies of a page, alone reach the ratio.
 MIN_PAGES = 5
+#: A host with fewer pages needs this share of them, and FEWEST pages at least.
+SMALL_RATIO, FEWEST = 0.8, 3
+#: Boilerplate lines of a host in one bin of its table, about.
+BIN = 16
 #: Boilerplate lines of all hosts up to which their table is broadcast (about 16 bytes each).
 BROADCAST_LINES = 200_000
 #: Parts into which a host's pages are dealt where the table is too large for that.
@@ -46,10 +50,21 @@ def boilerplate(docs: DataFrame, host: Column, max_ratio: float = MAX_RATIO, min
         .select("__host", *named, F.xxhash64("__line").alias("__h"), F.xxhash64(F.lit(1), "__line").alias("__h2"))
         .groupBy("__host", "__h", "__h2")
         .agg(count.alias("__n"))
-        .where(F.col("__n") >= min_pages)
+        .where(F.col("__n") >= min(min_pages, FEWEST))
     )
     joined = found.join(totals, found["__host"].eqNullSafe(totals["__host"])).select(found["__host"], "__h", "__n", "__total")
-    return joined.where(F.col("__n") > F.col("__total") * max_ratio).select("__host", "__h").distinct()
+    least = F.least(F.lit(min_pages), F.greatest(F.lit(FEWEST), F.ceil(F.col("__total") * SMALL_RATIO)))
+    return joined.where((F.col("__n") > F.col("__total") * max_ratio) & (F.col("__n") >= least)).select("__host", "__h").distinct()
+
+
+def bins(hashes: Column) -> Column:
+    """The hashes dealt in bins by their remainder, about BIN in each, so that looking one up reads one bin."""
+    n = F.ceil(F.size(hashes) / BIN).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.filter(hashes, lambda h: F.pmod(h, n) == k))
+
+
+def holds(dealt: Column, h: Column) -> Column:
+    return F.array_contains(F.get(dealt, F.pmod(h, F.size(dealt)).cast("int")), h)
 
 
 def drop_lines(
@@ -59,7 +74,8 @@ def drop_lines(
     """``docs`` with boilerplate lines taken out of ``text``, and the long columns n_lines and n_dropped.
 
     ``host`` defaults to the column source. Null hosts are one host. A null text stays null and has no lines; a text
-    whose lines all go is empty. Repeated rows are pages of their own, unless ``copies_once``: then a host's rows with the
+    whose lines all go is empty; a very long text is many lines and one page; a line counts once a page; an empty table
+    gives an empty result. Repeated rows are pages of their own, unless ``copies_once``: then a host's rows with the
     same text count as one page, so that an article's copies don't make its lines boilerplate. The other columns stay as they are, but
     for n_lines and n_dropped, which are replaced; names that begin with two underscores are the operator's.
 
@@ -68,7 +84,7 @@ def drop_lines(
     """
     host = F.col("source") if host is None else host
     frequent = cut(boilerplate(docs, host, max_ratio, min_pages, copies_once))
-    by_host = frequent.groupBy("__host").agg(F.collect_set("__h").alias("__drop")).withColumnRenamed("__host", "__at")
+    by_host = frequent.groupBy("__host").agg(F.collect_set("__h").alias("__drop")).select(F.col("__host").alias("__at"), bins(F.col("__drop")).alias("__drop"))
     rows = docs.withColumn("__host", host)
     if frequent.count() <= broadcast_lines:
         joined = rows.join(F.broadcast(by_host), F.col("__host").eqNullSafe(F.col("__at")), "left")
@@ -78,7 +94,7 @@ def drop_lines(
         on = F.col("__host").eqNullSafe(F.col("__at")) & (F.col("__salt") == F.col("__part"))
         joined = rows.join(dealt, on, "left")
     lines = F.coalesce(_lines(F.col("text")), F.array().cast("array<string>"))
-    kept = F.filter("__all", lambda x: ~(_counted(x) & F.array_contains(F.col("__drop"), F.xxhash64(x))))
+    kept = F.filter("__all", lambda x: ~(_counted(x) & holds(F.col("__drop"), F.xxhash64(x))))
     out = (
         joined.withColumn("__all", lines)
         .withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__all")).otherwise(kept))

@@ -1,13 +1,15 @@
-"""Near copies by the exact Jaccard similarity of word shingles, found by prefix filtering.
-
-A text is the set of its shingles: runs of SHINGLE lower-cased words, or all words of a shorter text. Under any one order
-of all shingles, two sets whose similarity is at least t share one among the first n - ceil(t n) + 1 of each, so buckets
-by these miss no pair. The order only bears on the cost: shingles that a sample of the texts shows to be common come
-last. Candidates are compared shingle by shingle. First each bucket's sets are compared with one of them; what is linked
-by then isn't compared again, so a large group of near copies makes few candidates. Then all other pairs follow.
-
-A radius over SimHash fingerprints can't serve here: at a similarity of 0.8, they differ in about 10 of 64 bits, some in
-nearly twice as many.
+"""Near copies: SimHash groups, completed to all pairs of a Jaccard similarity of word shingles.
+
+A text is the set of its shingles: runs of SHINGLE lower-cased words, or all words of a shorter text. Fingerprints of the
+sets are compared bit-sliced (``simhash.near_links``), and each text of a group is compared with one of the group, shingle
+by shingle. At a similarity of 0.8, fingerprints differ in about 10 of 64 bits, in some cases in nearly twice as many, and
+a radius that wide has no buckets that miss no pair. So prefix filtering finds the pairs that SimHash misses: under any one
+order of all shingles, two sets whose similarity is at least t share one among the first n - ceil(t n) + 1 of each. The
+order only bears on the cost: shingles that a sample of the texts shows to be common come last. Pairs that groups have
+linked already aren't compared again. Sets that share dense buckets are compared in tiles, not as a table of pairs.
+
+Candidates pass a filter of bitmaps first, which bounds what two sets share, then whole sets are compared. For both, the
+texts of candidates are read again: one row for each set and partner is shuffled, and no text.
 """
 
 from __future__ import annotations
@@ -18,22 +20,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliant.llm.common import cut, mix, spans_hash, steps, table, tidy
 from foliant.llm.components import components
+from foliant.llm.simhash import near_links, one_of_each, row_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: One of so many distinct texts is read for the order of shingles; at most COMMON shingles that are in SEEN of them or
-#: more come last.
-SAMPLE, SEEN, COMMON = 16, 3, 200_000
-#: Documents whose texts are compared, or rows that aren't copies, up to which their ids are broadcast.
+#: One of so many texts, by hash, is read for the order of shingles, copies once a task; at most COMMON shingles that are
+#: in SEEN of them or more come last.
+SAMPLE, SEEN, COMMON = 32, 2, 200_000
+#: Rows (sets to compare, or sets that groups hold) up to which a table is broadcast.
 BROADCAST_IDS = 300_000
 #: Entries (shingle of a set) that one part of the buckets has on average, and sets that are dealt out at a time.
 PART_ENTRIES, DEALT_SETS = 500_000, 2000
-#: Bits of a set's bitmap, by which most candidates are ruled out before whole sets are compared.
-BITS = 1024
+#: Sets in a bucket up to which the task that gathers it pairs them. Larger buckets are joined by Spark, or compared by tiles
+#: if they are dense: their sets have over DENSE possible partners on average, as about PROBED of them show.
+BUCKET, DENSE, PROBED = 16, 32, 64
+#: Sets, and shingles of them, in a tile.
+TILE_SETS, TILE_SHINGLES = 1024, 2_000_000
+#: Bytes of sets that a worker hands on at a time.
+SENT_BYTES = 8_000_000
+#: Partners of a set that one task compares with it, on average.
+PARTNERS = 512
 
 
 def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +80,11 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64, copy=False).view(np.int64), pa.int64())
 
 
+def unseen(ids: pa.Array, seen: set[int]) -> list[int]:
+    """Rows whose id a task meets for the first time, which it notes in ``seen``."""
+    return [k for k, i in enumerate(ids.to_pylist()) if i not in seen and not seen.add(i)]
+
+
 def _batches(docs: DataFrame, columns: list[str], shingle: int, finish, schema: str) -> DataFrame:
     """``columns`` of ``docs`` and what ``finish(hashes, bounds)`` makes of the texts' sets. No shuffle."""
 
@@ -85,31 +99,54 @@ def _batches(docs: DataFrame, columns: list[str], shingle: int, finish, schema:
     return rows.mapInArrow(tidy(run), ", ".join([*own, schema]))
 
 
-def bitmaps(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """BITS bits for each set, one set for each of its shingles (by the hash's upper bits)."""
-    bits = np.zeros((len(bounds) - 1, BITS), dtype=np.uint8)
-    bits[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), ((hashes >> np.uint64(40)) % np.uint64(BITS)).astype(np.int64)] = 1
-    return pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())
+def fingerprints(hashes: np.ndarray, bounds: np.ndarray, block: int = 65_536) -> np.ndarray:
+    """The SimHash of each set: bits that are set in over half of its shingles' hashes; 0 for the empty set."""
+    sizes = np.diff(bounds)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    sums = np.zeros((len(sizes), 64), dtype=np.int64)
+    for k in range(0, len(hashes), block):
+        bits = np.unpackbits(hashes[k : k + block].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = text[k : k + block]
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        sums[own[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
-def whole_sets(docs: DataFrame, columns: list[str], shingle: int) -> DataFrame:
-    def finish(hashes: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
-        return {"__set": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), longs(hashes))}
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each shingle, by the hash's upper half, in four to eight bits a shingle (a power of two, 64 at least)."""
+    size = 1 << max(6, int(4 * len(hashes) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[((hashes >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
-    return _batches(docs, columns, shingle, finish, "__set array<long>")
+
+def shared_at_most(x: bytes, n: int, y: bytes, m: int) -> int:
+    """How many shingles sets of n and m can share, by their bitmaps: a bit that only one has is a shingle of its own."""
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(z.reshape(-1, size), 0) for z in (a, b))
+    return min(n - int(np.bitwise_count(a & ~b).sum(dtype=np.int64)), m - int(np.bitwise_count(b & ~a).sum(dtype=np.int64)))
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Hashes of common shingles, the rarest first, as the sample shows them. Bounded by COMMON."""
     sample = docs.select("text", F.xxhash64("text").alias("__t")).where(F.pmod("__t", F.lit(SAMPLE)) == 0)
-    sample = sample.groupBy("__t").agg(F.first("text").alias("text"))
-    counted = whole_sets(sample, [], shingle).select(F.explode("__set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in steps(batch, "text"):
+                part = part.take(pa.array(unseen(part.column("__t"), seen), pa.int64()))
+                found, counts = np.unique(shingle_sets(part.column("text").to_pylist(), shingle)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([longs(found), pa.array(counts, pa.int64())], ["h", "n"])
+
+    counted = sample.mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     most = counted.where(F.col("n") >= SEEN).orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
     return np.array(most.column("h"), dtype=np.int64).view(np.uint64)[::-1]
 
 
 def with_prefix(docs: DataFrame, columns: list[str], shingle: int, similarity: float) -> DataFrame:
-    """``columns`` of ``docs``, the set's number __s and size __n, and its first shingles __prefix in the common order."""
+    """``columns`` of ``docs``, the set's number __s, size __n and fingerprint __fp, and its first shingles __prefix in the common order."""
     common = common_shingles(docs, shingle)
     by_hash = np.argsort(common)
     known, rank = common[by_hash], (by_hash + 1).astype(np.int64)
@@ -127,69 +164,180 @@ def with_prefix(docs: DataFrame, columns: list[str], shingle: int, similarity: f
         ends = np.concatenate(([0], np.cumsum(keep)))
         return {
             "__s": longs(set_ids(hashes, bounds)), "__n": pa.array(sizes, pa.int64()),
-            "__bits": bitmaps(hashes, bounds), "__prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), longs(ordered[chosen])),
+            "__fp": longs(fingerprints(hashes, bounds)), "__prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), longs(ordered[chosen])),
         }
 
-    return _batches(docs, columns, shingle, finish, "__s long, __n long, __bits binary, __prefix array<long>")
+    return _batches(docs, columns, shingle, finish, "__s long, __n long, __fp long, __prefix array<long>")
 
 
-def _possible(n: Column, pos: Column, m: Column, at: Column, similarity: float) -> Column:
-    """Whether sets of sizes n and m may be similar if their first common shingle is at these positions."""
-    least = F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
-    return F.least(n - pos, m - at) >= least
+def least_shared(n: np.ndarray | Column, similarity: float) -> np.ndarray | Column:
+    """Shingles that two similar sets of ``n`` in all share at least."""
+    return (F.ceil if isinstance(n, Column) else np.ceil)(n * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _likely(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` that the bitmaps don't rule out: a bit of a alone is a shingle of a alone at least, so
-    these bits bound what two sets share, and no similar pair goes. ``known``: __s, __n, __bits of each set, once."""
-    left, right = (known.select(F.col("__s").alias(f"__{k}"), F.col("__n").alias(f"__n_{k}"), F.col("__bits").alias(f"__bits_{k}")) for k in "ab")
-    both = pairs.join(left, pairs["a"] == left["__a"]).join(right, F.col("b") == right["__b"]).select("a", "b", "__n_a", "__n_b", "__bits_a", "__bits_b")
+def _sent(roles: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, exact: bool) -> DataFrame:
+    """(task, side, s, c, n, shown): each set __i, or its bitmap, once for each task of its array __roles (task, side, c), by
+    task and side. ``heads``: a row of ``docs`` for each set, by its key. Texts are read again and not shuffled, unless the
+    sets are too many to broadcast their keys."""
+    need = cut(heads.join(roles, heads["__s"] == roles["__i"]).select("__s", F.col("__k").alias("__key"), "__roles"))
+    need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+    rows = docs.select("text", row_key().alias("__k"))
+    own = rows.join(need, rows["__k"] == need["__key"]).select("__s", "__roles", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # rows that repeat a text give its set once a task
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8) for c in ("__bits_a", "__bits_b"))
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__n_a", "__n_b"))
-            shared = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            yield batch.select(["a", "b"]).filter(pa.array(shared >= similarity * (n + m - shared) - 1e-9))
-
-    return cut(both.mapInArrow(tidy(run), "a long, b long"))
+            for part in steps(batch, "text"):
+                fresh = unseen(part.column("__s"), sent)
+                if not fresh:
+                    continue
+                part = part.take(pa.array(fresh))
+                hashes, bounds = shingle_sets(part.column("text").to_pylist(), shingle)
+                own = [hashes[i:j] for i, j in zip(bounds, bounds[1:])]
+                lists = part.column("__roles")
+                at = np.repeat(np.arange(len(own)), np.asarray(lists.value_lengths()))
+                each, named = lists.flatten(), part.column("__s").take(pa.array(at))
+                shown = [h.tobytes() if exact else bitmap(h) for h in own]
+                filled = np.cumsum(np.array([len(x) for x in shown])[at]) // SENT_BYTES
+                for k in np.split(np.arange(len(at)), np.flatnonzero(np.diff(filled)) + 1):
+                    task, side, c = (each.field(x).take(pa.array(k)) for x in ("task", "side", "c"))
+                    columns = [task, side, named.take(pa.array(k)), c, pa.array([len(own[i]) for i in at[k]], pa.int64()), pa.array([shown[i] for i in at[k]], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["task", "side", "s", "c", "n", "shown"])
+
+    sent = own.mapInArrow(tidy(send), "task long, side int, s long, c long, n long, shown binary")
+    return sent.repartition("task").sortWithinPartitions("task", "side")
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float, exact: bool) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets are similar; if not ``exact``, all of them and others that bitmaps can't tell
+    apart. A set goes once to the task of each partner that it is compared with; a set with very many partners has a task
+    for each PARTNERS of them."""
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > PARTNERS)
+    many = cut(many.select(F.col("a").alias("__a"), F.ceil(F.col("__n") / PARTNERS).alias("__parts")))
+    part = F.lit(0).cast("long")
+    if many.limit(1).count():
+        pairs = pairs.join(many, pairs["a"] == many["__a"], "left")
+        part = F.coalesce(F.pmod(F.xxhash64("b"), "__parts"), part)
+    role = lambda side: F.struct(F.xxhash64("a", part).alias("task"), F.lit(side).alias("side"), F.col("a").alias("c"))
+    roles = pairs.select(F.col("a").alias("__i"), role(0).alias("r")).union(pairs.select("b", role(1)))
+    roles = roles.groupBy("__i").agg(F.collect_set("r").alias("__roles"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first row of each task is the set that all others are compared with."""
+        now, other, n, head = None, None, 0, b""
+        for batch in batches:
+            a, b = [], []
+            for k, (task, side, s, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("task", "side", "s", "n")))):
+                shown = batch.column("shown")[k].as_py()
+                if side == 0:
+                    now, n, head = (task, s), size, shown
+                    other = np.frombuffer(head, dtype=np.uint64) if exact else None
+                else:
+                    shared = len(np.intersect1d(other, np.frombuffer(shown, dtype=np.uint64), assume_unique=True)) if exact else shared_at_most(head, n, shown, size)
+                    if shared >= similarity * (n + size - shared) - 1e-9:
+                        a.append(now[1])
+                        b.append(s)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return cut(_sent(roles, docs, heads, shingle, exact).mapInArrow(tidy(meet), "a long, b long"))
+
+
+def linked(ids: list[int], groups: list[int], sides: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Similar pairs of sets that link all that are similar, in and across their groups: of one tile (all of side 0), or
+    across two. Pairs that are linked already aren't compared; of the others, bitmaps in one matrix rule out most."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    sizes = np.array([len(h) for h in sets])
+    width = 1 << int(np.clip(int(4 * np.median(sizes)) - 1, 63, 8191)).bit_length()
+    bits = np.zeros((len(sets), width), dtype=np.uint8)
+    bits[np.repeat(np.arange(len(sets)), sizes), (np.concatenate(sets) >> np.uint64(32)).astype(np.int64) & (width - 1)] = 1
+    maps = np.packbits(bits, axis=1).view(np.uint64)
+    ones = bits.sum(1, dtype=np.int64)
+    left = [k for k, x in enumerate(sides) if x == 0]
+    right = np.array([k for k, x in enumerate(sides) if x == 1], dtype=np.int64)
+    out = []
+    for place, i in enumerate(left):
+        others = right if len(right) else np.array(left[place + 1 :], dtype=np.int64)
+        if not len(others):
+            continue
+        both = np.bitwise_count(maps[others] & maps[i]).sum(1, dtype=np.int64)
+        shared = np.minimum(sizes[i] - (ones[i] - both), sizes[others] - (ones[others] - both))
+        for j in others[shared >= similarity * (sizes[i] + sizes[others] - shared) - 1e-9].tolist():
+            a, b = top(groups[i]), top(groups[j])
+            if a == b:
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= similarity * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+                root[a] = b
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def clustered_links(large: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) among sets that share dense buckets. ``large``: __key, __s, __n and group __c of each entry. Buckets that
+    share sets are one cluster, which is compared in pairs of tiles; so a set is sent once for each tile of its cluster,
+    however many buckets and partners it has."""
+    both = large.select(F.col("__s").alias("a"), F.xxhash64(F.lit(9), "__key").alias("b"))
+    named = components(both).withColumnsRenamed({"node": "__node", "component": "__cluster"})
+    sets = large.groupBy("__s").agg(F.min("__n").alias("__n"), F.min("__c").alias("__c"))
+    own = cut(sets.join(named, sets["__s"] == named["__node"]).select("__s", "__n", "__c", "__cluster"))
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("__n") / TILE_SHINGLES)).alias("__tiles")
+    sizes = own.groupBy("__cluster").agg(tiles).withColumnRenamed("__cluster", "__h")
+    dealt = own.join(sizes, own["__cluster"] == sizes["__h"]).withColumn("__mine", F.pmod(F.xxhash64("__s"), "__tiles"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tiles") - 1)))
+    task = F.xxhash64("__cluster", F.least("__mine", "__other"), F.greatest("__mine", "__other")).alias("task")
+    role = F.struct(task, (F.col("__mine") > F.col("__other")).cast("int").alias("side"), F.col("__c").alias("c"))
+    roles = dealt.groupBy(F.col("__s").alias("__i")).agg(F.collect_set(role).alias("__roles"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, int, np.ndarray]] = {}
+        now = None
+
+        def spend() -> Iterator[pa.RecordBatch]:
+            found = linked(list(held), *(list(x) for x in zip(*held.values())), similarity)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
+        for batch in batches:
+            for k, (task, side, s, c) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("task", "side", "s", "c")))):
+                if held and task != now:
+                    yield from spend()
+                    held = {}
+                now = task
+                held[s] = (c, side, np.frombuffer(batch.column("shown")[k].as_py(), dtype=np.uint64))
+        if held:
+            yield from spend()
 
-def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar, from the texts of one document for each set."""
-    ids = pairs.select(F.col("a").alias("__i")).union(pairs.select("b")).distinct()
-    need = cut(heads.join(ids, heads["__s"] == ids["__i"], "left_semi"))
-    rows = docs.select(F.col("doc_id").alias("__id"), "text", F.xxhash64("text").alias("__x"))
-    small = need.count() <= BROADCAST_IDS
-    own = rows.join(F.broadcast(need) if small else need, rows["__id"].eqNullSafe(need["__d"]) & (rows["__x"] == need["__u"]))
-    sets = table(whole_sets(own, ["__s"], shingle).dropDuplicates(["__s"]))
-    left, right = (sets.select(F.col("__s").alias(f"__{k}"), F.col("__set").alias(f"__set_{k}")) for k in "ab")
-    both = pairs.join(left, pairs["a"] == left["__a"]).join(right, F.col("b") == right["__b"]).select("a", "b", "__set_a", "__set_b")
+    return cut(_sent(roles, docs, heads, shingle, True).mapInArrow(tidy(meet), "a long, b long"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for k in range(batch.num_rows):
-                x, y = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("__set_a", "__set_b"))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(tidy(run), "a long, b long")
+def similar(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets are similar. ``pairs`` is kept and holds each pair once."""
+    return _alike(_alike(pairs, docs, heads, shingle, similarity, False), docs, heads, shingle, similarity, True)
 
 
-def buckets(firsts: DataFrame, parts: int) -> DataFrame:
-    """(__key, __s, __n, __p, __r_s, __r_n, __r_p): for each shingle that is in the prefix of two sets or more, these sets
-    with their size and the shingle's position, and the same of the least of them. ``firsts`` has each set once.
+def buckets(prints: DataFrame, parts: int, similarity: float) -> DataFrame:
+    """Sets that share a shingle of their prefixes and are in different groups __c: pairs (__s, __o) whose sizes and
+    positions allow the similarity, from buckets of up to BUCKET sets (__key null); of larger ones the entries, with __o 1
+    if the bucket is dense, else 0.
 
-    The entries are dealt out once, packed by part (a share of the shingles); most have no partner and end there.
+    The entries are dealt out once, packed by part (a share of the shingles); most have no partner and end there. Rows
+    with the same set are dealt once a task.
     """
-    names = ["__key", "__s", "__n", "__p"]
+    names = ["__key", "__s", "__n", "__p", "__c"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt: set[int] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, DEALT_SETS):
                 part = batch.slice(start, DEALT_SETS)
+                part = part.take(pa.array(unseen(part.column("__s"), dealt), pa.int64()))
                 prefix = part.column("__prefix")
                 keys = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 sizes = np.array(prefix.value_lengths().fill_null(0), dtype=np.int64)
@@ -201,22 +349,38 @@ def buckets(firsts: DataFrame, parts: int) -> DataFrame:
                 order = np.argsort(where, kind="stable")
                 edges = np.flatnonzero(np.diff(where[order], prepend=-1))
                 ends = pa.array([*edges.tolist(), len(keys)], pa.int32())
-                s, n = (np.asarray(part.column(c).to_numpy(zero_copy_only=False), dtype=np.int64)[own] for c in ("__s", "__n"))
-                columns = [(keys, pa.int64()), (s, pa.int64()), (n, pa.int32()), (at, pa.int32())]
+                s, n, c = (np.asarray(part.column(x).to_numpy(zero_copy_only=False), dtype=np.int64)[own] for x in ("__s", "__n", "__c"))
+                columns = [(keys, pa.int64()), (s, pa.int64()), (n, pa.int32()), (at, pa.int32()), (c, pa.int64())]
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x[order], kind)) for x, kind in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(where[order][edges], pa.int32()), *lists], ["__part", *names])
 
     def meet(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, s, n, at = (np.concatenate([b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for b in held]) for c in names)
+        key, s, n, at, c = (np.concatenate([b.column(x).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for b in held]) for x in names)
         order = np.lexsort((s, key))
-        key, s, n, at = key[order], s[order], n[order], at[order]
+        order = order[np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (s[order][1:] != s[order][:-1])))]
+        key, s, n, at, c = key[order], s[order], n[order], at[order], c[order]
         bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         sizes = np.diff(bounds)
-        least = np.repeat(bounds[:-1], sizes)
-        some = np.flatnonzero(np.repeat(sizes, sizes) > 1)
-        found = [key[some], s[some], n[some], at[some], s[least[some]], n[least[some]], at[least[some]]]
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], [*names, "__r_s", "__r_n", "__r_p"])
+        mixed = np.minimum.reduceat(c, bounds[:-1]) != np.maximum.reduceat(c, bounds[:-1])
+        small = np.flatnonzero(np.repeat(mixed & (sizes <= BUCKET), sizes))
+        for k in np.flatnonzero(mixed & (sizes > BUCKET)):
+            own = slice(bounds[k], bounds[k + 1])
+            # how many partners an entry has on average, from some of them: this decides how they are compared, not what
+            some = np.arange(bounds[k], bounds[k + 1], max(1, sizes[k] // PROBED))
+            fits = np.minimum((n - at)[some][:, None], (n - at)[own][None]) >= least_shared(n[some][:, None] + n[own][None], similarity)
+            dense = int((fits & (c[some][:, None] != c[own][None])).sum() > DENSE * len(some))
+            columns = [pa.array(x[own], pa.int64()) for x in (key, s, n, at, c)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(sizes[k], dense), pa.int64())], [*names, "__o"])
+        found = []
+        for step in range(1, BUCKET):
+            i, j = small[:-step], small[step:]
+            i, j = (x[(key[i] == key[j]) & (c[i] != c[j])] for x in (i, j))
+            fits = np.minimum(n[i] - at[i], n[j] - at[j]) >= least_shared(n[i] + n[j], similarity)
+            found.append(np.stack((s[i][fits], s[j][fits]), 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if len(pairs):
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0], pa.int64()), none, none, none, pa.array(pairs[:, 1], pa.int64())], [*names, "__o"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -231,33 +395,45 @@ def buckets(firsts: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from meet(held)
 
-    dealt = firsts.mapInArrow(tidy(deal), "__part int, __key array<long>, __s array<long>, __n array<int>, __p array<int>")
-    return dealt.repartition("__part").sortWithinPartitions("__part").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in [*names, "__r_s", "__r_n", "__r_p"]))
+    dealt = prints.mapInArrow(tidy(deal), "__part int, __key array<long>, __s array<long>, __n array<int>, __p array<int>, __c array<long>")
+    return dealt.repartition("__part").sortWithinPartitions("__part").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in [*names, "__o"]))
+
+
+def grouped_pairs(heads: DataFrame) -> DataFrame:
+    """(a, b): each set of a SimHash group with the set that is nearest to the group's majority of bits (of equally near
+    ones the least); sets with one fingerprint are a group, too."""
+    prints = cut(heads.select("__fp").distinct())
+    found = components(near_links(prints, prints.count()), forests=True)
+    own = cut(heads.join(found, heads["__fp"] == found["node"], "left").select("__s", "__fp", F.coalesce("component", "__fp").alias("__g")))
+    ones = [F.sum(F.shiftright("__fp", k).bitwiseAND(F.lit(1))).alias(f"__{k}") for k in range(64)]
+    some = own.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"), *ones).where("__n > 1")
+    most = F.lit(0).cast("long")
+    for k in range(64):
+        most = most.bitwiseOR(F.when(2 * F.col(f"__{k}") > F.col("__n"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    some = cut(some.select(F.col("__g").alias("__h"), most.alias("__most")))
+    far = F.bit_count(F.col("__fp").bitwiseXOR(F.col("__most")))
+    near = own.join(some, own["__g"] == some["__h"]).groupBy("__h").agg(F.min(F.struct(far.alias("far"), "__s")).alias("m")).select("__h", F.col("m.__s").alias("a"))
+    return cut(own.join(near, own["__g"] == near["__h"]).where("__s <> a").select("a", F.col("__s").alias("b")))
 
 
 def similar_links(prints: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) between sets: their components are those of all pairs of sets that are similar."""
-    once = heads.select(F.col("__row").alias("__first"))
-    once = F.broadcast(once) if once.count() <= BROADCAST_IDS else once
-    firsts = prints.join(once, F.col("__row") == F.col("__first"), "left_semi")
-    known, firsts = firsts.select("__s", "__n", "__bits"), firsts.select("__s", "__n", "__prefix")
+    links = _alike(grouped_pairs(heads), docs, heads, shingle, similarity, True)
+    found = components(links).withColumnsRenamed({"node": "__node", "component": "__in"})
+    found = F.broadcast(found) if links.count() <= BROADCAST_IDS else found
+    sets = prints.join(found, prints["__s"] == F.col("__node"), "left").select("__s", "__n", "__prefix", F.coalesce("__in", "__s").alias("__c"))
     entries = prints.agg(F.sum(F.size("__prefix"))).first()[0] or 0
-    posts = table(buckets(firsts, max(1, -(-entries // PART_ENTRIES))))
-    fits = _possible(F.col("__n"), F.col("__p"), F.col("__r_n"), F.col("__r_p"), similarity)
-    star = posts.where((F.col("__s") != F.col("__r_s")) & fits).select(F.col("__r_s").alias("a"), F.col("__s").alias("b")).distinct()
-    star = cut(star)
-    links = cut(_verified(_likely(star, known, similarity), docs, heads, shingle, similarity))
-    found = components(links).withColumnRenamed("node", "__node")
-    named = posts.join(found, posts["__s"] == found["__node"], "left").select("__key", "__s", "__n", "__p", F.coalesce("component", "__s").alias("__c"))
-    named = table(named)
-    mixed = named.groupBy("__key").agg(F.min("__c").alias("__low"), F.max("__c").alias("__high")).where("__low <> __high").select(F.col("__key").alias("__k"))
-    named = table(named.join(mixed, named["__key"] == mixed["__k"], "left_semi"))
-    x, y = named.alias("x"), named.alias("y")
-    fits = _possible(F.col("x.__n"), F.col("x.__p"), F.col("y.__n"), F.col("y.__p"), similarity)
+    posts = table(buckets(sets, max(1, -(-entries // PART_ENTRIES)), similarity))
+    pairs = posts.where("__key IS NULL").select(F.col("__s").alias("a"), F.col("__o").alias("b"))
+    large = posts.where("__key IS NOT NULL")
+    x, y = large.where("__o = 0").alias("x"), large.where("__o = 0").alias("y")
+    room = F.least(F.col("x.__n") - F.col("x.__p"), F.col("y.__n") - F.col("y.__p"))
+    fits = room >= least_shared(F.col("x.__n") + F.col("y.__n"), similarity)
     on = (F.col("x.__key") == F.col("y.__key")) & (F.col("x.__s") < F.col("y.__s")) & (F.col("x.__c") != F.col("y.__c")) & fits
-    rest = x.join(y, on).select(F.col("x.__s").alias("a"), F.col("y.__s").alias("b")).distinct()
-    rest = cut(rest.join(star, ["a", "b"], "left_anti"))
-    return links.union(_verified(_likely(rest, known, similarity), docs, heads, shingle, similarity))
+    pairs = cut(pairs.union(x.join(y, on).select("x.__s", "y.__s")).distinct())
+    links = links.union(similar(pairs, docs, heads, shingle, similarity))
+    dense = large.where("__o = 1")
+    return links.union(clustered_links(dense, docs, heads, shingle, similarity)) if dense.limit(1).count() else links
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -265,19 +441,13 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     the least hash of its text, and of rows alike in both any one.
 
     Texts whose sets have at least this Jaccard similarity link, and groups are what links reach. Texts with equal sets
-    meet as one row before anything is compared. Texts without words (null, empty, white space) are one group.
+    meet as one row before anything is compared. Texts without words (null, empty, white space) are one group. An empty
+    table gives an empty result. A very long text is one set like any other. Columns of ``docs`` stay as they are; names
+    that begin with two underscores are the operator's.
     """
-    rows = docs.withColumn("__t", F.xxhash64("text"))
-    prints = table(with_prefix(rows, ["doc_id", "__t"], shingle, similarity).withColumn("__row", F.monotonically_increasing_id()))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__t", "__row")).alias("k")
-    heads = table(prints.groupBy("__s").agg(least).select("__s", F.col("k.doc_id").alias("__d"), F.col("k.__t").alias("__u"), F.col("k.__row").alias("__row")))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("__t"), row_key().alias("__k"), "text")
+    prints = table(with_prefix(rows, ["doc_id", "__t", "__k"], shingle, similarity))
+    heads = table(prints.groupBy("__s").agg(F.min("__k").alias("__k"), F.min("__fp").alias("__fp")))
     named = components(similar_links(prints, docs, heads, shingle, similarity))
-    grouped = heads.join(named, heads["__s"] == named["node"], "left")
-    best = F.min(F.struct(F.col("__d").isNull().alias("none"), "__d", "__u")).alias("k")
-    keys = grouped.groupBy(F.coalesce("component", "__s").alias("__c")).agg(best).select("k.__d", "k.__u")
-    # id and hash as one number, by which the rows are dealt just once
-    known = rows.withColumn("__k", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "__t"))
-    keys = keys.select(F.xxhash64(F.col("__d").isNull(), "__d", "__u").alias("__k"))
-    kept = known.join(keys, "__k", "left_semi")
-    one = F.row_number().over(Window.partitionBy("__k").orderBy("__t"))
-    return kept.withColumn("__n", one).where("__n = 1").select(*docs.columns)
+    own = prints.join(named, prints["__s"] == named["node"], "left")
+    return one_of_each(docs, own.select("doc_id", "__t", "__k", F.coalesce("component", "__s").alias("__c")))

@@ -17,7 +17,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliant.llm.common import cut, steps, table, tidy
 from foliant.llm.components import components, forest
@@ -237,9 +236,11 @@ def group_near(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (doc_id among them), fingerprint string (16 hex digits) and component_id, the least doc_id
     that links reach; fingerprints link at RADIUS or fewer differing bits.
 
-    A text without words (null, empty, white space) has fingerprint 0, which links like any other. Copies share a
-    fingerprint, so groups of copies meet as one row; repeated rows are copies. A null doc_id is never a component's
-    least id unless all its ids are null. Fingerprints are computed once and kept in the shared folder.
+    A text without words (null, empty, white space) has fingerprint 0, which links like any other. A very long text is
+    hashed whole, as a step of its own. A bit that is set in just half of the hashes is 0. Copies share a fingerprint, so
+    groups of copies meet as one row; repeated rows are copies, and each has a row. A null doc_id is never a component's
+    least id unless all its ids are null. An empty table gives an empty result. Columns that aren't asked for are not read.
+    Fingerprints are computed once and kept in the shared folder.
     """
     columns = ["doc_id"] if columns is None else columns
     prints = table(with_fingerprint(docs, columns))
@@ -254,7 +255,7 @@ def _components_of(prints: DataFrame) -> DataFrame:
     """(__f, __c, component_id): each fingerprint's component, named by a fingerprint, and its least doc_id."""
     distinct = cut(prints.groupBy("__fp").agg(F.min("doc_id").alias("__low")))
     links = near_links(distinct.select("__fp"), distinct.count())
-    found = components(links).withColumnRenamed("node", "__node")
+    found = components(links, forests=True).withColumnRenamed("node", "__node")
     grouped = distinct.join(found, distinct["__fp"] == found["__node"], "left").select(
         F.col("__fp").alias("__f"), F.coalesce("component", "__fp").alias("__c"), "__low"
     )
@@ -262,15 +263,44 @@ def _components_of(prints: DataFrame) -> DataFrame:
     return cut(grouped.join(least, grouped["__c"] == least["__g"]).select("__f", "__c", "component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+#: Rows that aren't kept up to which their keys are broadcast.
+BROADCAST_KEYS = 300_000
+
+
+def row_key() -> Column:
+    """A number for each (doc_id, text), nulls included."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
+
+
+def one_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: the one with the least doc_id (null last), of these the one with the least
-    hash of its text, and of rows alike in both any one."""
-    rows = docs.withColumn("__t", F.xxhash64("text"))
-    prints = table(with_fingerprint(rows, ["doc_id", "__t"]))
+    hash of its text, and of rows alike in both any one. ``members``: doc_id, __t (hash of the text), __k (``row_key``) and
+    the component __c of every row.
+
+    What goes is decided on these short rows. Texts aren't shuffled where the keys of what goes are few, as counted; only
+    rows of which another is alike in id and text are gathered, one a task, to keep one.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__t", "__k")
+    best = members.groupBy("__c").agg(F.min(order).alias("o")).select(F.col("o.__k").alias("__best"))
+    each = members.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    fate = each.join(best, each["__k"] == best["__best"], "left").select(F.col("__k").alias("__key"), F.col("__best").isNotNull().alias("__stays"), "__n")
+    fate = cut(fate.where("NOT __stays OR __n > 1"))
+    small = fate.count() <= BROADCAST_KEYS
+    moved, again = fate.select("__key"), fate.where("__stays").select("__key")
+    keyed = docs.withColumn("__k", row_key())
+    out = keyed.join(F.broadcast(moved) if small else moved, F.col("__k") == F.col("__key"), "left_anti").select(*docs.columns)
+    if again.limit(1).count():
+        alike = keyed.join(F.broadcast(again) if small else again, F.col("__k") == F.col("__key"), "left_semi")
+        one = alike.groupBy("__k").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+        out = out.union(one.select("__row.*"))
+    return out
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``group_near``, as ``one_of_each`` chooses it. Texts without words are
+    like any others; an empty table gives an empty result."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("__t"), row_key().alias("__k"), "text")
+    prints = table(with_fingerprint(rows, ["doc_id", "__t", "__k"]))
     named = _components_of(prints)
     joined = prints.join(named, prints["__fp"] == named["__f"])
-    first = joined.groupBy("__c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__t")).alias("k"))
-    keys = first.select(F.col("k.doc_id").alias("__d"), F.col("k.__t").alias("__u"))
-    kept = rows.join(keys, rows["doc_id"].eqNullSafe(keys["__d"]) & (rows["__t"] == keys["__u"]), "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id", "__t").orderBy("doc_id"))
-    return kept.withColumn("__n", one).where("__n = 1").select(*docs.columns)
+    return one_of_each(docs, joined.select("doc_id", "__t", "__k", "__c"))

@@ -57,10 +57,13 @@ def near_rows():
     return [*zip(ids, texts), (None, texts[0]), (None, "only here with a null id")]
 
 
-@pytest.mark.parametrize("sample", [16, 1])
-def test_near_copies(spark, monkeypatch, sample):
+@pytest.mark.parametrize(("sample", "dense"), [(32, 32), (1, -1), (1, 10**6)])
+def test_near_copies(spark, monkeypatch, sample, dense):
     monkeypatch.setattr(near_copies, "SAMPLE", sample)
-    monkeypatch.setattr(near_copies, "BROADCAST_IDS", 10_000 if sample == 16 else 0)
+    monkeypatch.setattr(near_copies, "DENSE", dense)
+    monkeypatch.setattr(near_copies, "TILE_SETS", 1024 if dense > 0 else 20)
+    monkeypatch.setattr(near_copies, "PARTNERS", 512 if dense == 32 else 3)
+    monkeypatch.setattr(near_copies, "BROADCAST_IDS", 10_000 if sample == 32 else 0)
     rows = near_rows()
     df = spark.createDataFrame([(*x, "k", 3) for x in rows], "doc_id long, text string, __s string, n_chars int").repartition(5)
     got = near_copies.keep_one(df)

@@ -1,6 +1,7 @@
 """The whole pipeline against a plain-Python model of its five stages. Only the classifier's features and fit are the
 operator's own; what it is fitted on, and all other stages, are brute force or the tokenizers library."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
-from foliant.llm import line_dedup, quality
+from foliant.llm import quality
 from foliant.llm.queries import vocabulary
 from tests.llm.test_near_copies import brute_sets
 from tests.llm.test_dedup import groups
@@ -36,7 +37,8 @@ def model(docs, labels, items):
         pages[host].add(t)
     for host, texts in pages.items():
         found.update((host, line) for t in texts for line in set((t or "").split("\n")) if line.strip(" "))
-    gone = {k for k, n in found.items() if n >= line_dedup.MIN_PAGES and n > len(pages[k[0]]) * line_dedup.MAX_RATIO}
+    least = {host: min(5, max(3, math.ceil(0.8 * len(texts)))) for host, texts in pages.items()}
+    gone = {k for k, n in found.items() if n >= least[k[0]] and n > len(pages[k[0]]) * 0.05}
     docs = [(i, t if t is None else "\n".join(x for x in t.split("\n") if (h, x) not in gone), h) for i, t, h in docs]
 
     sets, held = [brute_sets(t) for _, t, _ in docs], defaultdict(list)
@@ -50,7 +52,7 @@ def model(docs, labels, items):
         best[root[k]] = min(best.get(root[k], (True, 0, k)), (i is None, i or 0, k))
     docs = [docs[k] for _, _, k in best.values()]
 
-    dirty = {n for n, _ in brute_overlaps([t for _, t, _ in docs], items)}
+    dirty = {x[0] for x in brute_overlaps([t for _, t, _ in docs], items) if not x[4]}
     coder, out = Tokenizer.from_file(vocabulary()), []
     for k, (i, t, _) in enumerate(docs):
         if k not in dirty:
@@ -72,7 +74,8 @@ def planted(spark, path):
     rows += [(4000 + k, "!!! $$$ <<>> " * 40 + f"{k}", "c") for k in range(40)]
     spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, int(i < 4000)) for i, _, _ in rows if i is not None and i != 3000], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    rows += [(5000 + k, f"tiny menu\n{article(700 + k)}", "d") for k in range(4)]
+    spark.createDataFrame([(1, item), (2, "a501_1 a502_2")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path)
 
 
