@@ -2,7 +2,8 @@
 
 A candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` with a letter and a digit, or what a base pattern
 matched. The network, in numpy, sees WIDTH characters at a time: the candidate and what surrounds it. A candidate that
-doesn't fit is shown in windows over all of it and both sides, and the highest score counts. The network is trained on labelled findings (text, start, end, label). Its scores are calibrated by Platt scaling on held-out findings, and the
+doesn't fit is shown in windows over all of it and both sides, and the highest score counts. The network is trained on
+labelled findings (text, start, end, label). Its scores are calibrated by Platt scaling on held-out findings, and the
 threshold is the highest that keeps the recall there at RECALL or above.
 
 Base findings are always kept; the network adds candidates that it accepts and no one base finding covers whole, as kind ``cnn``.
@@ -258,8 +259,10 @@ def find_secrets(docs: DataFrame, net: CharCNN | None = None) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added and scores (the network's, of
     each span). No shuffle; the network, some 50 KB whatever the corpus, goes along with the function.
 
-    A null text is empty: no findings, and the hash of an empty string. Texts are read whole, each by itself; repeated
-    rows have a row each. Other columns are not read.
+    A null or empty text has no findings and the hash of an empty string. A very long text is read whole, as a step of its
+    own, and a very long candidate is shown to the network in windows. Findings that begin at one place are in the order of
+    kinds; the network's need its threshold at least. Repeated rows have a row each; an empty table has none. Other columns
+    are not read, so clashing names do no harm.
     """
     net = net or default_network()
 
