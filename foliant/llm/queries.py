@@ -106,16 +106,18 @@ rows AS (SELECT d.doc_id, CAST(strlen(coalesce(d.text, '')) + 16 AS BIGINT) AS s
  JOIN leaf o ON o.k = coalesce(CAST(d.doc_id AS VARCHAR), 'null') AND o.tree = 'old'
  JOIN leaf n ON n.k = coalesce(CAST(d.doc_id AS VARCHAR), 'null') AND n.tree = 'new')
 SELECT doc_id, size, text_crc32, law, shard,
- row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM rows"""
+ row_number() OVER (PARTITION BY shard ORDER BY
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || text_crc32 || '|' || size), 1, 13) AS BIGINT), doc_id, text_crc32, size) - 1 AS slot,
+ grown_shard FROM rows"""
     )
 
 
-LINE_DEDUP_SQL = f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS host, text FROM documents),
+LINE_DEDUP_SQL = """WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS host, text FROM documents),
 lines AS (SELECT r, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
  FROM docs WHERE text IS NOT NULL),
 totals AS (SELECT host, count(*) AS total FROM docs GROUP BY host),
 often AS (SELECT l.host, l.line FROM lines l JOIN totals t USING (host) WHERE length(trim(l.line, ' ')) > 0
- GROUP BY l.host, l.line, t.total HAVING count(DISTINCT r) >= {line_dedup.MIN_PAGES} AND count(DISTINCT r) > t.total * {line_dedup.MAX_RATIO}),
+ GROUP BY l.host, l.line, t.total HAVING count(DISTINCT r) > t.total * 0.05 AND count(DISTINCT r) >= least(5, greatest(3, ceil(t.total * 0.8)))),
 kept AS (SELECT l.r, count(*) AS n_lines, count(o.line) AS n_dropped,
   coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE o.line IS NULL), '') AS text
  FROM lines l LEFT JOIN often o ON o.host = l.host AND o.line = l.line GROUP BY l.r)

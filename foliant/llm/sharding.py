@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 
 #: Rows of one shard that one task numbers at most, on average.
 ROWS_PER_BUCKET = 500_000
+#: Rows that are alike which one row becomes at a time.
+ROWS_AT_ONCE = 10_000
 
 
 @dataclass(frozen=True)
@@ -107,32 +109,42 @@ def assign_shards(docs: DataFrame, regions: tuple[Region, ...], key: str = "doc_
     return docs.withColumn(out, F.col("__shard").cast("int")).drop(*names)
 
 
-def number_slots(df: DataFrame, n_rows: int, order: list[str], shard: str = "shard", out: str = "slot") -> DataFrame:
-    """Adds ``out``: 0, 1, 2, ... without gaps within each shard.
+def place(*columns: str) -> Column:
+    """A number of 52 bits, from MD5 of the columns as text: where a row stands in its shard."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
-    Each shard's rows are split into hash buckets of about ROWS_PER_BUCKET rows; a task numbers one bucket, and the
-    buckets' counts give where each starts, so no task needs a whole shard. The order is bucket, then ``order``; rows
-    alike in it are interchangeable.
+
+def number_slots(df: DataFrame, n_rows: int, order: list[str], shards: int, shard: str = "shard", out: str = "slot") -> DataFrame:
+    """Adds ``out``: 0, 1, 2, ... without gaps within each shard, in order of ``place(*order)``, then of ``order``. Rows that
+    are alike in ``order`` must be alike throughout; they get slots side by side.
+
+    That order is the same at every size. Leading bits of the place split a shard into buckets of about ROWS_PER_BUCKET
+    rows; a task numbers one bucket, and the buckets' counts give where each starts, so no task needs a whole shard. Rows
+    that are alike are counted as one before that, however many there are.
     """
-    shards = max(1, df.select(shard).distinct().count()) if n_rows > ROWS_PER_BUCKET * 40 else 40
-    buckets = max(1, math.ceil(n_rows / (ROWS_PER_BUCKET * shards)))
-    if buckets == 1:
-        return df.withColumn(out, (F.row_number().over(Window.partitionBy(shard).orderBy(*order)) - 1).cast("long"))
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = df.groupBy(shard, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    own = Window.partitionBy(shard, "__bucket").orderBy(*order)
-    numbered = df.withColumn("__at", F.row_number().over(own) - 1)
-    joined = numbered.join(starts, [shard, "__bucket"])
-    return joined.withColumn(out, (F.col("__start") + F.col("__at")).cast("long")).drop("__bucket", "__at", "__start")
+    bits = max(0, math.ceil(math.log2(max(1.0, n_rows / (ROWS_PER_BUCKET * shards)))))
+    alike = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__place", place(*order))
+    alike = alike.withColumn("__bucket", F.shiftright("__place", 52 - bits) if bits else F.lit(0).cast("long"))
+    own = Window.partitionBy(shard, "__bucket").orderBy("__place", *order).rowsBetween(Window.unboundedPreceding, -1)
+    alike = alike.withColumn("__at", F.coalesce(F.sum("__n").over(own), F.lit(0)))
+    if bits:
+        counts = alike.groupBy(shard, "__bucket").agg(F.sum("__n").alias("__rows"))
+        before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.withColumn("__start", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
+        alike = alike.join(starts, [shard, "__bucket"]).withColumn("__at", F.col("__start") + F.col("__at"))
+    # one row each again, a bounded number of them at a time
+    many = alike.withColumn("__low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(ROWS_AT_ONCE).cast("long"))))
+    last = F.least(F.col("__low") + ROWS_AT_ONCE, F.col("__n")) - 1
+    each = many.withColumn("__k", F.explode(F.sequence(F.col("__low"), last)))
+    return each.select(*df.columns, (F.col("__at") + F.col("__k")).cast("long").alias(out))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """All documents in shards 0 to ``n_shards`` - 1 under the law ``key``: doc_id and the number of shards decide.
 
-    Returns doc_id, size, text_crc32, law, shard, slot and grown_shard (the shard if there were one more).
-    A null text counts 16 bytes and has the checksum of an empty one; a null doc_id is one key. Repeated rows share a
+    Returns doc_id, size, text_crc32, law, shard, slot and grown_shard (the shard if there were one more). Slots follow
+    ``place`` of doc_id, text_crc32 and size. A very long text only makes for a large size. A null text counts 16 bytes and has the checksum of an empty one; a null doc_id is one key. Repeated rows share a
     shard and have slots of their own; equal texts with other ids go where their ids send them. An empty table gives
     an empty result. Other columns are not read, so clashing names do no harm.
     """
@@ -144,7 +156,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
         F.lit("key").alias("law"),
     )
     rows = assign_shards(assign_shards(rows, layout(n_shards)), layout(n_shards + 1), out="grown_shard")
-    numbered = number_slots(rows, docs.count(), ["doc_id", "text_crc32", "size"])
+    numbered = number_slots(rows, docs.count(), ["doc_id", "text_crc32", "size"], n_shards)
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
