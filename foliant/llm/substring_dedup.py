@@ -4,12 +4,11 @@ A window is WINDOW consecutive words of a document; each window that also occurs
 removed. Every window selects one seed, the least hash among its stretches of SEED words (winnowing), so equal windows
 select equal seeds, and documents need to be joined on selected seeds alone: about one word in 18.
 
-Each occurrence of a seed is extended both ways as far as windows select it. Where all occurrences of a seed extend
-alike, the least id among them settles all their windows at once. Where they differ, their windows are compared one by
-one. What is removed in a document is the union of its ranges, that is, its maximal repeats.
-
-The texts are read three times and shuffled once, and only those that lose words: two filters of a fixed number of bits
-(over shared seeds, and over documents with ranges) keep the rest out. A filter's false hits cost time, never results.
+Each occurrence of a seed is extended both ways as far as windows select it: its stretch. Occurrences are joined with the
+seeds that several documents share. Where all stretches of a seed are alike, the least id among them settles all their
+windows at once. Where they differ, each distinct stretch, however many documents hold it, is compared window by window
+with the others, from one document's text. What is removed in a document is the union of its ranges, that is, its maximal
+repeats.
 """
 
 from __future__ import annotations
@@ -19,15 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import spans_hash, steps, table, text_bytes, tidy
+from foliant.llm.common import cut, spans_hash, steps, table, text_bytes, tidy
 
 WINDOW = 50
 SEED = 16
-#: Words of 64 bits in a filter: 2**20 of them, 8 MB, whatever the corpus.
-FILTER_WORDS = 1 << 20
+#: Rows up to which a table of shared seeds, stretches or documents that lose words is broadcast, as counted.
+BROADCAST_ROWS = 300_000
 #: UTF-8 bytes of text that a worker takes at a time.
 BLOCK_BYTES = 1_000_000
 
@@ -85,78 +84,80 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 
 
-#: The word of the filter that a hash falls in, and its bit there.
-_SLOT, _BIT = "pmod({key}, {words})", "CAST(pmod(shiftright({key}, 40), 64) AS INT)"
+def seed_occurrences(rows: DataFrame, window: int, size: int) -> DataFrame:
+    """(doc_id, __t, seed, stretch, a, b) of every selected seed: its first and last window, as word numbers."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text", BLOCK_BYTES):
+                own, seed, a, b, stretch, _, _ = occurrences(part.column("text"), window, size)
+                ids = [part.column(c).take(pa.array(own)) for c in ("doc_id", "__t")]
+                yield pa.RecordBatch.from_arrays([*ids, _longs(seed), _longs(stretch), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "__t", "seed", "stretch", "a", "b"])
 
-def _bits(df: DataFrame, key: str) -> np.ndarray:
-    """A filter over the hashes ``key`` (SQL): at most FILTER_WORDS words, whatever ``df`` holds. Tasks combine their bits
-    before the shuffle."""
-    slot, bit = (x.format(key=key, words=FILTER_WORDS) for x in (_SLOT, _BIT))
-    slots = df.selectExpr(f"{slot} AS s", f"shiftleft(1L, {bit}) AS w")
-    got = slots.groupBy("s").agg(F.bit_or("w").alias("w")).toArrow()
-    out = np.zeros(FILTER_WORDS, dtype=np.int64)
-    out[got.column("s").to_numpy()] = got.column("w").to_numpy()
-    return out
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, __t long, seed long, stretch long, a int, b int")
 
 
-def _in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """As in ``_bits``, of signed keys."""
-    return (bits[keys % len(bits)] >> ((keys >> 40) % 64)) & 1 == 1
+def window_signs(rows: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
+    """(seed, stretch, k, sign): a hash of each window k of each stretch, from the document that ``stretches`` names (seed,
+    stretch, __d, __u, a, b). Their texts are read again, and shuffled only if there are very many."""
+    spans = F.collect_list(F.struct("seed", "stretch", "a", "b")).alias("spans")
+    by_doc = cut(stretches.groupBy("__d", "__u").agg(spans))
+    by_doc = F.broadcast(by_doc) if stretches.count() <= BROADCAST_ROWS else by_doc
+    some = rows.join(by_doc, (rows["doc_id"] == by_doc["__d"]) & (rows["__t"] == by_doc["__u"])).select("text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text", BLOCK_BYTES):
+                data, starts = text_bytes(part.column("text"))
+                first, last, bounds = word_edges(data, starts)
+                words = spans_hash(data, first, last)
+                lists = part.column("spans")
+                spans = lists.flatten()
+                text = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
+                a, b = (spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "ab")
+                counts = b - a + 1
+                own = np.repeat(np.arange(len(a)), counts)
+                k = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = bounds[text[own]] + a[own] + k
+                sign = spans_hash(words, at, at + window, 1) if len(at) else at.astype(np.uint64)
+                named = [spans.field(c).take(pa.array(own)) for c in ("seed", "stretch")]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(k, pa.int32()), _longs(sign)], ["seed", "stretch", "k", "sign"])
+
+    return some.mapInArrow(tidy(run), "seed long, stretch long, k int, sign long").distinct()
+
+
+def runs(ks: Column, a: Column, window: int) -> Column:
+    """Ranges of words (low, high) that the windows ``ks`` of a stretch at ``a`` cover, one for each run of windows."""
+    starts = F.filter(ks, lambda k: ~F.array_contains(ks, k - 1))
+    ends = F.filter(ks, lambda k: ~F.array_contains(ks, k + 1))
+    return F.zip_with(F.array_sort(starts), F.array_sort(ends), lambda s, e: F.struct((a + s).cast("long").alias("low"), (a + e + window).cast("long").alias("high")))
 
 
 def removed_ranges(docs: DataFrame, window: int = WINDOW, size: int = SEED) -> DataFrame:
     """(doc_id, __t, low, high): ranges of word numbers to remove; they may overlap. __t is the text's hash, which tells
     rows with the same doc_id apart."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("__t"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, "text", BLOCK_BYTES):
-                own, seed, _, _, stretch, _, _ = occurrences(part.column("text"), window, size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(own)), _longs(seed), _longs(stretch)], ["doc_id", "seed", "stretch"])
-
-    found = rows.select("doc_id", "text").mapInArrow(tidy(seeds), f"doc_id {kind}, seed long, stretch long")
-    shared = table(
-        found.groupBy("seed")
-        .agg(F.min("doc_id").alias("low_id"), F.max("doc_id").alias("high_id"), F.min("stretch").alias("s"), F.max("stretch").alias("t"))
-        .where("low_id < high_id")
-        .select("seed", "low_id", (F.col("s") == F.col("t")).alias("alike"))
-    )
-    alike, other = (_bits(shared.where(F.col("alike") == which), "seed") for which in (True, False))
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of occurrences (stretch null) and of single windows (stretch set)."""
-        for batch in batches:
-            for part in steps(batch, "text", BLOCK_BYTES):
-                own, seed, a, b, _, words, bounds = occurrences(part.column("text"), window, size)
-                key = seed.view(np.int64) if len(seed) else seed.astype(np.int64)
-                one = np.flatnonzero(_in_filter(alike, key))
-                many = np.flatnonzero(_in_filter(other, key))
-                counts = b[many] - a[many] + 1
-                each = np.repeat(many, counts)
-                start = np.repeat(a[many], counts) + np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = start + bounds[own[each]]
-                sign = spans_hash(words, at, at + window, 1).view(np.int64) if len(at) else at
-                rows_of = np.concatenate((own[one], own[each]))
-                columns = [
-                    part.column("doc_id").take(pa.array(rows_of)),
-                    part.column("__t").take(pa.array(rows_of)),
-                    pa.array(np.concatenate((key[one], key[each]))),
-                    pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(sign, pa.int64())]),
-                    pa.array(np.concatenate((a[one], start))),
-                    pa.array(np.concatenate((b[one], start)) + window),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "__t", "seed", "sign", "low", "high"])
-
-    ranges = table(rows.select("doc_id", "__t", "text").mapInArrow(tidy(extend), f"doc_id {kind}, __t long, seed long, sign long, low long, high long"))
-    whole = ranges.where("sign IS NULL").join(shared.where("alike").select(F.col("seed").alias("__s"), "low_id"), F.col("seed") == F.col("__s")).where("doc_id > low_id")
-    single = ranges.where("sign IS NOT NULL")
-    least = single.groupBy("seed", "sign").agg(F.min("doc_id").alias("low_id"), F.max("doc_id").alias("high_id")).where("low_id < high_id")
-    least = least.select(F.col("seed").alias("__s"), F.col("sign").alias("__w"), "low_id")
-    windows = single.join(least, (F.col("seed") == F.col("__s")) & (F.col("sign") == F.col("__w"))).where("doc_id > low_id")
-    return whole.select("doc_id", "__t", "low", "high").union(windows.select("doc_id", "__t", "low", "high"))
+    found = table(seed_occurrences(rows, window, size))
+    shared = found.groupBy("seed").agg(F.min("doc_id").alias("low_id"), F.max("doc_id").alias("high_id"), F.min("stretch").alias("s"), F.max("stretch").alias("t"))
+    shared = table(shared.where("low_id < high_id").select(F.col("seed").alias("__s"), "low_id", (F.col("s") == F.col("t")).alias("alike")))
+    small = shared.count() <= BROADCAST_ROWS
+    met = table(found.join(F.broadcast(shared) if small else shared, F.col("seed") == F.col("__s")).drop("__s"))
+    whole = met.where("alike AND doc_id > low_id").select("doc_id", "__t", F.col("a").cast("long").alias("low"), (F.col("b") + window).cast("long").alias("high"))
+    other = met.where("NOT alike")
+    least = F.min(F.struct("doc_id", "__t", "a", "b")).alias("r")
+    reps = cut(other.groupBy("seed", "stretch").agg(least).select("seed", "stretch", F.col("r.doc_id").alias("__d"), F.col("r.__t").alias("__u"), "r.a", "r.b"))
+    signs = table(window_signs(rows, reps, window))
+    # the least id that has each window, over all stretches of its seed; then, for each stretch, these ids by window
+    firsts = reps.select(F.col("seed").alias("__s"), F.col("stretch").alias("__w"), "__d")
+    named = signs.join(firsts, (F.col("seed") == F.col("__s")) & (F.col("stretch") == F.col("__w"))).select("seed", "stretch", "k", "sign", "__d")
+    lows = named.groupBy("seed", "sign").agg(F.min("__d").alias("low_id")).select(F.col("seed").alias("__s"), F.col("sign").alias("__w"), "low_id")
+    ids = named.join(lows, (F.col("seed") == F.col("__s")) & (F.col("sign") == F.col("__w"))).groupBy("seed", "stretch").agg(F.collect_list(F.struct("k", "low_id")).alias("ids"))
+    ids = cut(ids.withColumnsRenamed({"seed": "__s", "stretch": "__w"}))
+    seen = other.drop("low_id").join(ids, (F.col("seed") == F.col("__s")) & (F.col("stretch") == F.col("__w")))
+    gone = seen.withColumn("ks", F.transform(F.filter("ids", lambda x: x["low_id"] < F.col("doc_id")), lambda x: x["k"])).where(F.size("ks") > 0)
+    windows = gone.select("doc_id", "__t", F.explode(runs(F.col("ks"), F.col("a"), window)).alias("r")).select("doc_id", "__t", "r.low", "r.high")
+    return whole.union(windows).distinct()
 
 
 def cut_words(text: str | None, ranges: list[tuple[int, int]]) -> tuple[list[bytes], int]:
@@ -177,24 +178,21 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     ``with_text`` also text, the kept words so joined.
 
     A null text has no words. A document with a null doc_id neither loses words nor makes others lose any. Rows with the
-    same doc_id are not smaller than each other; each keeps or loses words by its own text. Texts of fewer than WINDOW
-    words lose none. Other columns are not read.
+    same doc_id are not smaller than each other; each keeps or loses words by its own text, so repeated rows end alike.
+    Texts of fewer than WINDOW words lose none. A very long text is read whole, as a step of its own. An empty table gives
+    an empty result. Other columns are not read, so clashing names do no harm.
     """
     ranges = table(removed_ranges(docs).groupBy("doc_id", "__t").agg(F.collect_list(F.struct("low", "high")).alias("__ranges")))
-    bits = _bits(ranges, "xxhash64(doc_id)")
-    # a table of at most FILTER_WORDS rows
-    full = np.flatnonzero(bits)
-    spark = docs.sparkSession
-    slots = spark.createDataFrame(pa.table({"__slot": pa.array(full, pa.int64()), "__bits": pa.array(bits[full], pa.int64())}))
-    slot, bit = (x.format(key="xxhash64(doc_id)", words=FILTER_WORDS) for x in (_SLOT, _BIT))
+    keys = ranges.select("doc_id", "__t", "__ranges").withColumnsRenamed({"doc_id": "__d", "__t": "__u"})
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__t"))
-    marked = rows.join(F.broadcast(slots), F.expr(slot) == F.col("__slot"), "left")
-    hit = F.coalesce(F.expr(f"shiftright(__bits, {bit}) & 1") == 1, F.lit(False))
-    none = F.lit(None).cast(ranges.schema["__ranges"].dataType)
-    some = marked.where(hit).select("doc_id", "text", "__t")
-    other = ranges.withColumnsRenamed({"doc_id": "__d", "__t": "__u"})
-    joined = some.join(other, (F.col("doc_id") == F.col("__d")) & (F.col("__t") == F.col("__u")), "left").select("doc_id", "text", "__ranges")
-    rest = marked.where(~hit).select("doc_id", "text", none.alias("__ranges"))
+    total = ranges.agg(F.count(F.lit(1)), F.sum(F.size("__ranges"))).first()
+    small = total[0] <= BROADCAST_ROWS and (total[1] or 0) <= 2 * BROADCAST_ROWS
+    on = (F.col("doc_id") == F.col("__d")) & (F.col("__t") == F.col("__u"))
+    if small:
+        # texts are not shuffled
+        joined = rows.join(F.broadcast(keys), on, "left").select("doc_id", "text", "__ranges")
+    else:
+        joined = rows.join(keys, on, "left").select("doc_id", "text", "__ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,4 +212,4 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    return joined.mapInArrow(tidy(run), schema).union(rest.mapInArrow(tidy(run), schema))
+    return joined.mapInArrow(tidy(run), schema)

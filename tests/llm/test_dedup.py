@@ -30,9 +30,10 @@ def by_text(rows):
     return sorted(rows, key=lambda r: tuple((x is not None, str(x)) for x in r))
 
 
+@pytest.mark.parametrize("step", [5, 200_000])
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "shuffled"])
-def test_components(spark, kind, monkeypatch):
-    monkeypatch.setattr(components, "STEP_LINKS", 5)
+def test_components(spark, kind, step, monkeypatch):
+    monkeypatch.setattr(components, "STEP_LINKS", step)
     r, n = random.Random(2), 50
     order = list(range(n))
     r.shuffle(order)
@@ -133,9 +134,9 @@ def test_selected():
         assert substring_dedup.selected(x, 35).tolist() == [k + int(np.argmin(x[k : k + 35])) for k in range(len(x) - 34)]
 
 
-@pytest.mark.parametrize("filter_words", [1 << 20, 8])
-def test_substrings(spark, odd, odd_rows, monkeypatch, filter_words):
-    monkeypatch.setattr(substring_dedup, "FILTER_WORDS", filter_words)
+@pytest.mark.parametrize("broadcast_rows", [300_000, 0])
+def test_substrings(spark, odd, odd_rows, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", broadcast_rows)
     r = random.Random(5)
     long = [r.choice(["a", "b", "c"] + [f"u{k}" for k in range(400)]) for _ in range(300)]
     rows = [(r[0], r[1]) for r in odd_rows]
@@ -166,7 +167,8 @@ def brute_lines(rows, ratio, least):
     out = []
     for i, text, host in rows:
         ls = text.split("\n") if text is not None else []
-        kept = [x for x in ls if not (per.get((host, x), 0) >= least and per[host, x] > total[host] * ratio)]
+        small = min(least, max(3, math.ceil(total[host] * 0.8)))
+        kept = [x for x in ls if not (per.get((host, x), 0) >= small and per[host, x] > total[host] * ratio)]
         out.append((i, len(ls), len(ls) - len(kept), "\n".join(kept) if text is not None else None))
     return by_text(out)
 
@@ -176,12 +178,29 @@ def test_lines(spark, broadcast):
     r = random.Random(1)
     rows = [(n, "\n".join(r.choice(["menu", "", " ", f"own {n}", "about us", f"x{r.randint(0, 9)}"]) for _ in range(r.randint(1, 9))), r.choice(["a", "b", None])) for n in range(120)]
     rows += [(500, None, "a"), (501, "", None), rows[3], (None, "menu", "c")]
+    rows += [(600 + 10 * n + k, f"small menu\nown {n} {k}", f"host of {n}") for n in range(1, 8) for k in range(n)]
+    rows += [(700 + k, "twice" if k < 2 else f"page {k}", "two copies") for k in range(4)]
     df = spark.createDataFrame([(*x, 1, "c") for x in rows], "doc_id long, text string, source string, n_lines int, __total string").repartition(3)
     got = line_dedup.drop_lines(df, max_ratio=0.2, min_pages=5, broadcast_lines=broadcast)
     assert got.columns == ["doc_id", "text", "source", "__total", "n_lines", "n_dropped"]
     assert by_text((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == brute_lines(rows, 0.2, 5)
 
 
+def test_lines_of_small_hosts(spark):
+    """What is on nearly all pages of a small host goes, what two copies share stays."""
+    rows = [(n * 10 + k, f"menu\nown {n} {k}", f"h{n}") for n in range(1, 8) for k in range(n)] + [(100 + k, "twice" if k < 2 else f"p {k}", "c") for k in range(4)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: int(h[0] == "h" and int(h[1:]) >= 3) for i, _, h in rows}
+
+
+def test_lines_of_many_kinds(spark):
+    """A host with thousands of boilerplate lines, which are looked up by bin."""
+    lines = [f"line {k}" for k in range(3000)]
+    rows = [(k, "\n".join([*lines, f"own {k}"]), "s") for k in range(6)]
+    got = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r["n_dropped"] == 3000 and r["text"] == f"own {r['doc_id']}" for r in got)
+
+
 def test_lines_empty(empty, odd, odd_rows):
     assert line_dedup.drop_lines(empty).count() == 0
     assert line_dedup.drop_lines(odd).count() == len(odd_rows)
@@ -223,3 +242,33 @@ def test_vectors(spark, monkeypatch, tile):
 
 def test_vectors_empty(spark):
     assert embed_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.3])
+def test_many_vectors(spark, spread):
+    """Labels of several tiles, near and far apart, against all pairs."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(300, 24)) * np.linspace(2, 0.2, 24)
+    x = (base[r.integers(0, 300, 2400)] + r.normal(0, spread, (2400, 24))).astype(np.float32)
+    label = r.integers(0, 2, 2400)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    a, b = np.nonzero((u @ u.T >= 0.98) & (label[:, None] == label[None]))
+    root = groups(2400, list(zip(a.tolist(), b.tolist())))
+    df = spark.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {row["vec_id"]: row for row in embed_dedup.link(df, tile=150).collect()}
+    assert [got[k]["component_id"] for k in range(2400)] == root
+    assert [got[k]["n_links"] for k in range(2400)] == (np.bincount(a, minlength=2400) - 1).tolist()
+
+
+def test_blocks_and_cells():
+    r = np.random.default_rng(2)
+    x = embed_dedup.units(r.normal(size=(1000, 20)))
+    assert sorted(np.concatenate(embed_dedup.blocks(x[:, :8], 64)).tolist()) == list(range(1000))
+    space = embed_dedup.fit_space(x, 16)
+    cells = space.cells((x @ space.rotation)[:, : embed_dedup.LEADING])
+    assert len(space.axes) == 15 and set(cells) == set(range(16)) and np.bincount(cells).max() <= 64
+    for y in (x[:300] + 0.01, None):
+        got = {(int(a), int(b)) for i, j in embed_dedup.close_pairs(x, y, space.rotation, 0.6) for a, b in zip(i, j)}
+        z = x if y is None else embed_dedup.units(y)
+        near = x @ z.T >= 0.6
+        assert got == {(a, b) for a, b in zip(*(c.tolist() for c in np.nonzero(near))) if y is not None or a < b}
