@@ -1,7 +1,9 @@
 """The training-data pipeline: documents in, token digests of what is worth training on out.
 
-Stages, each a function of (spark, docs, sf_dir): quality classifier, line dedup, near-dedup by
-five-word shingles, benchmark decontamination and BPE. All but the last return the columns of documents.
+Stages, each a function of (spark, docs, sf_dir): quality classifier, line dedup, SimHash near-dedup completed to all pairs
+of a Jaccard similarity, benchmark decontamination and BPE. All but the last return the columns of documents. Every stage
+reads whole texts, however long, and gives an empty table for an empty one; names that begin with two underscores are the
+operators'.
 """
 
 from __future__ import annotations
@@ -15,29 +17,34 @@ from foliant.llm.queries import load, vocabulary
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. A null text scores as an empty one; alike texts, and so repeated rows, go
+    or stay together; without labels of both kinds all stay."""
     return quality.keep_good(docs, load(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; n_chars follows the text. Copies, which the next stage drops, are one page."""
+    """Boilerplate lines of a source go; n_chars follows the text. Copies, which the next stage drops, are one page. A null
+    text stays null, a null source is a source, and a text whose lines all go is empty."""
     out = line_dedup.drop_lines(docs, copies_once=True)
     chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies stays, the one with the least doc_id (a null one last): five-word
+    shingles, Jaccard similarity 0.8 or more. Texts without words, null ones among them, are one group; repeated rows are
+    copies."""
     return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go, by id and text, so clean rows of the same id, or without one, stay. Null
+    texts overlap nothing."""
     return decontam.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the text that they decode to."""
+    """Token counts and digests of ids and of the text that they decode to, a row for each row. A null text is empty."""
     return bpe.encode_digests(docs, vocabulary())
 
 
@@ -49,7 +56,8 @@ STAGES = [
     ("bpe", tokenize),
 ]
 
-#: SQL cannot express the classifier, SimHash and BPE; the pipeline is tested against a plain-Python model on planted documents.
+#: SQL can't express the classifier, near copies and BPE; tests/llm/test_pipeline_model.py compares run() with a plain-Python
+#: model of the five stages on planted documents.
 ORACLE_SQL = None
 
 
