@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, spans_hash, steps, table, text_bytes, tidy
+from foliant.llm.common import spans_hash, steps, table, text_bytes, tidy
 
 WINDOW = 50
 SEED = 16
-#: Rows up to which a table of shared seeds, stretches or documents that lose words is broadcast, as counted.
-BROADCAST_ROWS = 300_000
+#: Bits of a filter for each key that it holds, and words of 64 bits at most: 8 MB, which broadcasts never exceed.
+KEY_BITS, FILTER_WORDS = 16, 1 << 20
 #: UTF-8 bytes of text that a worker takes at a time.
 BLOCK_BYTES = 1_000_000
 
@@ -98,13 +98,24 @@ def seed_occurrences(rows: DataFrame, window: int, size: int) -> DataFrame:
     return rows.mapInArrow(tidy(run), f"doc_id {kind}, __t long, seed long, stretch long, a int, b int")
 
 
+def likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with __hit: false for no row whose ``key`` (SQL for a whole number) is in the single column of ``keys``, and
+    for most others. It spares the shuffle of what joins nothing; a filter that many keys fill spares less."""
+    (name,) = keys.columns
+    words = 1 << max(0, min(FILTER_WORDS, keys.count() * KEY_BITS // 64 + 1) - 1).bit_length()
+    slot, bit = "pmod({0}, {1}L)", "CAST(pmod(shiftright({0}, 40), 64) AS INT)"
+    slots = keys.selectExpr(f"{slot.format(name, words)} AS __slot", f"shiftleft(1L, {bit.format(name)}) AS __bits").groupBy("__slot").agg(F.bit_or("__bits").alias("__bits"))
+    joined = df.join(F.broadcast(slots), F.expr(slot.format(key, words)) == F.col("__slot"), "left")
+    return joined.withColumn("__hit", F.coalesce(F.expr(f"shiftright(__bits, {bit.format(key)}) & 1") == 1, F.lit(False))).drop("__slot", "__bits")
+
+
 def window_signs(rows: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
-    """(seed, stretch, k, sign): a hash of each window k of each stretch, from the document that ``stretches`` names (seed,
-    stretch, __d, __u, a, b). Their texts are read again, and shuffled only if there are very many."""
-    spans = F.collect_list(F.struct("seed", "stretch", "a", "b")).alias("spans")
-    by_doc = cut(stretches.groupBy("__d", "__u").agg(spans))
-    by_doc = F.broadcast(by_doc) if stretches.count() <= BROADCAST_ROWS else by_doc
-    some = rows.join(by_doc, (rows["doc_id"] == by_doc["__d"]) & (rows["__t"] == by_doc["__u"])).select("text", "spans")
+    """(seed, stretch, k, sign, id): a hash of each window k of each stretch, from the document that ``stretches`` names
+    (seed, stretch, __d, __u, a, b), and its id. The texts of these documents are read again."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    by_doc = table(stretches.groupBy("__d", "__u").agg(F.collect_list(F.struct("seed", "stretch", "a", "b")).alias("spans")))
+    some = likely(rows, "xxhash64(doc_id, __t)", by_doc.select(F.xxhash64("__d", "__u").alias("h"))).where("__hit")
+    some = some.join(by_doc, (F.col("doc_id") == F.col("__d")) & (F.col("__t") == F.col("__u"))).select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +133,9 @@ def window_signs(rows: DataFrame, stretches: DataFrame, window: int) -> DataFram
                 at = bounds[text[own]] + a[own] + k
                 sign = spans_hash(words, at, at + window, 1) if len(at) else at.astype(np.uint64)
                 named = [spans.field(c).take(pa.array(own)) for c in ("seed", "stretch")]
-                yield pa.RecordBatch.from_arrays([*named, pa.array(k, pa.int32()), _longs(sign)], ["seed", "stretch", "k", "sign"])
+                yield pa.RecordBatch.from_arrays([*named, pa.array(k, pa.int32()), _longs(sign), part.column("doc_id").take(pa.array(text[own]))], ["seed", "stretch", "k", "sign", "id"])
 
-    return some.mapInArrow(tidy(run), "seed long, stretch long, k int, sign long").distinct()
+    return some.mapInArrow(tidy(run), f"seed long, stretch long, k int, sign long, id {kind}")
 
 
 def runs(ks: Column, a: Column, window: int) -> Column:
@@ -141,23 +152,21 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, size: int = SEED) -> D
     found = table(seed_occurrences(rows, window, size))
     shared = found.groupBy("seed").agg(F.min("doc_id").alias("low_id"), F.max("doc_id").alias("high_id"), F.min("stretch").alias("s"), F.max("stretch").alias("t"))
     shared = table(shared.where("low_id < high_id").select(F.col("seed").alias("__s"), "low_id", (F.col("s") == F.col("t")).alias("alike")))
-    small = shared.count() <= BROADCAST_ROWS
-    met = table(found.join(F.broadcast(shared) if small else shared, F.col("seed") == F.col("__s")).drop("__s"))
+    met = likely(found, "seed", shared.select("__s")).where("__hit").drop("__hit")
+    met = table(met.join(shared, F.col("seed") == F.col("__s")).drop("__s"))
     whole = met.where("alike AND doc_id > low_id").select("doc_id", "__t", F.col("a").cast("long").alias("low"), (F.col("b") + window).cast("long").alias("high"))
-    other = met.where("NOT alike")
+    other = met.where("NOT alike").drop("alike", "low_id")
     least = F.min(F.struct("doc_id", "__t", "a", "b")).alias("r")
-    reps = cut(other.groupBy("seed", "stretch").agg(least).select("seed", "stretch", F.col("r.doc_id").alias("__d"), F.col("r.__t").alias("__u"), "r.a", "r.b"))
+    reps = table(other.groupBy("seed", "stretch").agg(least).select("seed", "stretch", F.col("r.doc_id").alias("__d"), F.col("r.__t").alias("__u"), "r.a", "r.b"))
     signs = table(window_signs(rows, reps, window))
     # the least id that has each window, over all stretches of its seed; then, for each stretch, these ids by window
-    firsts = reps.select(F.col("seed").alias("__s"), F.col("stretch").alias("__w"), "__d")
-    named = signs.join(firsts, (F.col("seed") == F.col("__s")) & (F.col("stretch") == F.col("__w"))).select("seed", "stretch", "k", "sign", "__d")
-    lows = named.groupBy("seed", "sign").agg(F.min("__d").alias("low_id")).select(F.col("seed").alias("__s"), F.col("sign").alias("__w"), "low_id")
-    ids = named.join(lows, (F.col("seed") == F.col("__s")) & (F.col("sign") == F.col("__w"))).groupBy("seed", "stretch").agg(F.collect_list(F.struct("k", "low_id")).alias("ids"))
-    ids = cut(ids.withColumnsRenamed({"seed": "__s", "stretch": "__w"}))
-    seen = other.drop("low_id").join(ids, (F.col("seed") == F.col("__s")) & (F.col("stretch") == F.col("__w")))
+    lows = signs.groupBy("seed", "sign").agg(F.min("id").alias("low_id")).select(F.col("seed").alias("__s"), F.col("sign").alias("__w"), "low_id")
+    named = signs.join(lows, (F.col("seed") == F.col("__s")) & (F.col("sign") == F.col("__w")))
+    ids = table(named.groupBy("seed", "stretch").agg(F.collect_set(F.struct("k", "low_id")).alias("ids")).withColumnsRenamed({"seed": "__s", "stretch": "__w"}))
+    seen = other.join(ids, (F.col("seed") == F.col("__s")) & (F.col("stretch") == F.col("__w")))
     gone = seen.withColumn("ks", F.transform(F.filter("ids", lambda x: x["low_id"] < F.col("doc_id")), lambda x: x["k"])).where(F.size("ks") > 0)
     windows = gone.select("doc_id", "__t", F.explode(runs(F.col("ks"), F.col("a"), window)).alias("r")).select("doc_id", "__t", "r.low", "r.high")
-    return whole.union(windows).distinct()
+    return whole.union(windows)
 
 
 def cut_words(text: str | None, ranges: list[tuple[int, int]]) -> tuple[list[bytes], int]:
@@ -182,17 +191,13 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Texts of fewer than WINDOW words lose none. A very long text is read whole, as a step of its own. An empty table gives
     an empty result. Other columns are not read, so clashing names do no harm.
     """
-    ranges = table(removed_ranges(docs).groupBy("doc_id", "__t").agg(F.collect_list(F.struct("low", "high")).alias("__ranges")))
-    keys = ranges.select("doc_id", "__t", "__ranges").withColumnsRenamed({"doc_id": "__d", "__t": "__u"})
+    ranges = table(removed_ranges(docs).groupBy("doc_id", "__t").agg(F.collect_set(F.struct("low", "high")).alias("__ranges")).withColumnsRenamed({"doc_id": "__d", "__t": "__u"}))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__t"))
-    total = ranges.agg(F.count(F.lit(1)), F.sum(F.size("__ranges"))).first()
-    small = total[0] <= BROADCAST_ROWS and (total[1] or 0) <= 2 * BROADCAST_ROWS
+    marked = likely(rows, "xxhash64(doc_id, __t)", ranges.select(F.xxhash64("__d", "__u").alias("h")))
+    none = F.lit(None).cast(ranges.schema["__ranges"].dataType)
     on = (F.col("doc_id") == F.col("__d")) & (F.col("__t") == F.col("__u"))
-    if small:
-        # texts are not shuffled
-        joined = rows.join(F.broadcast(keys), on, "left").select("doc_id", "text", "__ranges")
-    else:
-        joined = rows.join(keys, on, "left").select("doc_id", "text", "__ranges")
+    joined = marked.where("__hit").join(ranges, on, "left").select("doc_id", "text", "__ranges")
+    rest = marked.where("NOT __hit").select("doc_id", "text", none.alias("__ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,4 +217,4 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    return joined.mapInArrow(tidy(run), schema)
+    return joined.mapInArrow(tidy(run), schema).union(rest.mapInArrow(tidy(run), schema))

@@ -134,9 +134,9 @@ def test_selected():
         assert substring_dedup.selected(x, 35).tolist() == [k + int(np.argmin(x[k : k + 35])) for k in range(len(x) - 34)]
 
 
-@pytest.mark.parametrize("broadcast_rows", [300_000, 0])
-def test_substrings(spark, odd, odd_rows, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("filter_words", [1 << 20, 1])
+def test_substrings(spark, odd, odd_rows, monkeypatch, filter_words):
+    monkeypatch.setattr(substring_dedup, "FILTER_WORDS", filter_words)
     r = random.Random(5)
     long = [r.choice(["a", "b", "c"] + [f"u{k}" for k in range(400)]) for _ in range(300)]
     rows = [(r[0], r[1]) for r in odd_rows]
