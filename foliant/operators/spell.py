@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from foliant.functions import text as T
@@ -39,8 +41,13 @@ def is_suspect(word: Column, known: Iterable[str] = V.KNOWN_WORDS) -> Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n, first): counts over all documents, and where each word stands first. Tasks add up before the shuffle."""
-    return doc_words(docs).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    """(word, n, first): counts over all documents, and a value that orders words by where they stand first. Tasks add up
+    before the shuffle; for whole-numbered ids the place is one number, which a hash aggregate can update in place."""
+    words = doc_words(docs)
+    place = F.struct("doc_id", "pos")
+    if isinstance(words.schema["doc_id"].dataType, IntegralType):
+        place = F.col("doc_id").cast("decimal(20,0)") * F.lit(Decimal(1 << 32)) + F.col("pos")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
