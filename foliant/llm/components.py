@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, tidy
+from foliant.llm.common import cut, forget, tidy
 
 #: Links that one step of the local contraction holds at most, and up to which one task finds all components.
 STEP_LINKS = 200_000
@@ -98,6 +98,7 @@ def components(links: DataFrame, forests: bool = False) -> DataFrame:
         state = fresh.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("d")).first()
         tops = fresh.select(F.col("b").alias("t")).distinct()
         chained = fresh.join(tops, fresh["a"] == tops["t"], "left_semi").limit(1).count()
+        forget(edges)
         edges = fresh
         if state["n"] == state["d"] and not chained:
             break

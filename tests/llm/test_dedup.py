@@ -1,5 +1,6 @@
 """The dedup operators against brute force."""
 
+import glob
 import hashlib
 import math
 import random
@@ -46,6 +47,21 @@ def test_components(spark, kind, step, monkeypatch):
     assert got == {x: root[x] for link in links if link[0] != link[1] for x in link}
 
 
+def test_superseded_files_go(spark, tmp_path):
+    from foliant.llm import common
+
+    kept, gone = (common.cut(spark.range(9)) for _ in range(2))
+    folder = common.shared_dir(spark).removeprefix("file:")
+    files = lambda: len(glob.glob(f"{folder}/*/rdd-*"))
+    before = files()
+    common.forget(gone)
+    common.forget(spark.range(3))
+    assert files() == before - 1 and kept.count() == 9
+    common.table(spark.range(5))
+    common.drop_tables(spark)
+    assert not glob.glob(f"{folder}/foliant-tables/{spark.sparkContext.applicationId}*")
+
+
 def test_no_links(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
