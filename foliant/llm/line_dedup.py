@@ -64,7 +64,9 @@ def bins(hashes: Column) -> Column:
 
 
 def holds(dealt: Column, h: Column) -> Column:
-    return F.array_contains(F.get(dealt, F.pmod(h, F.size(dealt)).cast("int")), h)
+    """Whether a hash is in ``bins``; of a single bin, which most hosts have, without its remainder."""
+    one = F.array_contains(F.get(dealt, F.lit(0)), h)
+    return F.when(F.size(dealt) == 1, one).otherwise(F.array_contains(F.get(dealt, F.pmod(h, F.size(dealt)).cast("int")), h))
 
 
 def drop_lines(
