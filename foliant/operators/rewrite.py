@@ -241,8 +241,15 @@ def name_lists(docs: DataFrame) -> DataFrame:
     return map_lines(docs, change)
 
 
-def book_headings(docs: DataFrame) -> DataFrame:
-    """Known bold headings become headings, table-like lines get tabs (first pass over a book of names)."""
+#: Lines of a number and three words at least: words of any letters, and of ASCII letters only (the third may begin with an
+#: accented one), as the SQL of the query has it.
+ROW_OF_WORDS = r"^\d+\s+\w+\s+\w+\s+\w+"
+ROW_OF_ASCII_WORDS = r"^[0-9]+[ \t\n\f\r]+[0-9A-Za-z_]+[ \t\n\f\r]+[0-9A-Za-z_]+[ \t\n\f\r]+[0-9A-Za-z_À-ÖØ-öø-ɏ]"
+
+
+def book_headings(docs: DataFrame, row: str = ROW_OF_WORDS) -> DataFrame:
+    """Known bold headings become headings, table-like lines get tabs (first pass over a book of names). ``row``: what a
+    stripped line begins with whose single spaces become tabs, too."""
     known = F.array(*(F.lit(h) for h in V.BOOK_HEADINGS))
 
     def change(x: Column) -> Column:
@@ -251,7 +258,7 @@ def book_headings(docs: DataFrame) -> DataFrame:
         top = T.has(title, r"^\d+") | title.isin(*V.TOP_TITLES)
         low = title.isin(*V.LOW_TITLES)
         mark = F.when(top, "# ").when(low, "### ").otherwise("## ")
-        many = T.has(s, r"^\d+\s+\w+\s+\w+\s+\w+")
+        many = T.has(s, row)
         pairs = (F.length(s) - F.length(F.replace(s, F.lit("  "), F.lit("")))) / 2
         table = T.has(s, r"^\d+–\d+") | T.has(s, "^D%") | T.has(s, r"^\d+-\d+") | ((pairs >= 2) & (T.word_count(s) >= 3))
         done = T.starts_with(s, "<ch>", "<1>", "<2>", "<3>", "#") | x.contains("\t")
