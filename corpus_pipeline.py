@@ -12,19 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, decontam, line_dedup, near_copies, quality
-from foliant.llm.common import table
+from foliant.llm.common import small_batches, table
 from foliant.llm.queries import load, vocabulary
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. A null text scores as an empty one; alike texts, and so repeated rows, go
     or stay together; without labels of both kinds all stay."""
+    small_batches(spark)
     return quality.keep_good(docs, load(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go; n_chars follows the text. Copies, which the next stage drops, are one page. A null
     text stays null, a null source is a source, and a text whose lines all go is empty."""
+    small_batches(spark)
     out = line_dedup.drop_lines(docs, copies_once=True)
     chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(*docs.columns)
@@ -34,17 +36,20 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least doc_id (a null one last): five-word
     shingles, Jaccard similarity 0.8 or more. Texts without words, null ones among them, are one group; repeated rows are
     copies."""
+    small_batches(spark)
     return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go, by id and text, so clean rows of the same id, or without one, stay. Null
     texts overlap nothing."""
+    small_batches(spark)
     return decontam.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the text that they decode to, a row for each row. A null text is empty."""
+    small_batches(spark)
     return bpe.encode_digests(docs, vocabulary())
 
 

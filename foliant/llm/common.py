@@ -66,6 +66,19 @@ def drop_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch in the pipeline.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python workers batches of BATCH_BYTES at most (or one row), unless it is set to less.
+    By rows alone, as by default, a batch of texts has tens of MB, which stand twice in a task's worker and, outside of the
+    heap, several times in the executor's JVM, which gives little of it back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with at most ``limit`` bytes in ``column`` each, or one row."""
     n = batch.num_rows
