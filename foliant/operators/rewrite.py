@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions import vocab as V
-from foliant.operators.lines import map_lines, map_text, split_lines
+from foliant.operators.lines import let, map_lines, map_text, split_lines
 
 IMAGE, HTML_IMAGE = r"!\[.*?\]\([^)]*\)", r"<img[^>]*>"
 
@@ -99,10 +100,47 @@ def literal_counts(docs: DataFrame, rules: Iterable[tuple[str, str]] = V.OCR_BAS
 RULE_GROUP = 8
 
 
+#: Letters that a pattern without regard to case takes for ASCII ones, though lower-casing a text may not make them so.
+ODD_CASES = "[\u0130\u0131\u017F\u212A]"
+
+
+def literal(pattern: str) -> str | None:
+    """What a lower-cased text holds wherever the pattern matches, if it is plain words between word boundaries or one mark
+    between white space; else None."""
+    found = re.fullmatch(r"\\b((?:[A-Za-z0-9' -]|\\[' -])+)\\b|\\s\+([,;:]|\\\.)\\s\+", pattern)
+    return re.sub(r"\\(.)", r"\1", found[1] or found[2]).lower() if found else None
+
+
+def known_literals(rules: list[tuple[str, str]]) -> bool:
+    return bool(rules) and all(literal(p) for p, _ in rules)
+
+
+def applied(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """A struct of the text after all rules, in order and without regard to case (t), and of the rules that matched, with the
+    number of their matches as their turn came (c: k from 1, n). All rules have a literal; where the text doesn't hold it as
+    the rule's turn comes, the pattern isn't tried, as it couldn't match."""
+    table = F.array(*(F.struct(F.lit(k + 1).cast("long").alias("k"), F.lit(literal(p)).alias("has"), F.lit(T.ANY_CASE + p).alias("p"), F.lit(T.java_replacement(to)).alias("to")) for k, (p, to) in enumerate(rules)))
+    whole = F.coalesce(text, F.lit(""))
+    start = F.struct(whole.alias("t"), F.lower(whole).alias("low"), whole.rlike(ODD_CASES).alias("odd"), F.array().cast("array<struct<k:bigint,n:bigint>>").alias("c"))
+
+    def changed(acc: Column, r: Column) -> Column:
+        n = F.regexp_count(acc["t"], r["p"]).cast("long")
+        made = F.struct(n.alias("n"), F.regexp_replace(acc["t"], r["p"], r["to"]).alias("t"))
+        put = lambda m: F.struct(m["t"].alias("t"), F.lower(m["t"]).alias("low"), acc["odd"].alias("odd"), F.concat(acc["c"], F.array(F.struct(r["k"].alias("k"), m["n"].alias("n")))).alias("c"))
+        return let(made, lambda m: F.when(m["n"] > 0, put(m)).otherwise(acc))
+
+    def step(acc: Column, r: Column) -> Column:
+        return F.when(acc["odd"] | F.contains(acc["low"], r["has"]), changed(acc, r)).otherwise(acc)
+
+    return F.aggregate(table, start, step, lambda acc: F.struct(acc["t"].alias("t"), acc["c"].alias("c")))
+
+
 def pattern_rules(docs: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
     """Ordered patterns, without regard to case; replacements are in Python's notation. A group of rules is applied, in
     order, only to texts in which one of them matches, as one look for all of them shows; to others it would do nothing."""
     rules = list(rules)
+    if known_literals(rules):
+        return docs.withColumn("text", applied(F.col("text"), rules)["t"])
     df, text = docs.withColumn("text", F.coalesce("text", F.lit(""))), F.col("text")
     for first in range(0, len(rules), RULE_GROUP):
         group, changed = rules[first : first + RULE_GROUP], text
@@ -116,6 +154,9 @@ def pattern_rules(docs: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFram
 def pattern_counts(docs: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
     """(rule_no, n) over all documents, each counted as its turn came."""
     rules = list(rules)
+    if known_literals(rules):
+        rows = docs.select(F.explode(applied(F.col("text"), rules)["c"]).alias("s"))
+        return rows.groupBy(F.col("s.k").alias("rule_no")).agg(F.sum("s.n").alias("n"))
     df = docs.select(F.coalesce("text", F.lit("")).alias("t0"))
     for first in range(0, len(rules), 15):  # a projection for every 15 rules; in it each refers to the text before
         columns = [F.col(c) for c in df.columns if c[0] == "n"]
@@ -130,8 +171,6 @@ def pattern_counts(docs: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFra
 
 
 def additional_rules(overrides: Iterable[tuple[str, str]] = V.OCR_OVERRIDES) -> list[tuple[str, str]]:
-    import re
-
     return [*V.OCR_ADDITIONAL, *((rf"\b{re.escape(a)}\b", b) for a, b in overrides)]
 
 
@@ -144,8 +183,6 @@ def fix_final(docs: DataFrame) -> DataFrame:
 def fix_typos(docs: DataFrame, rules: Iterable[tuple[str, str]] = V.TYPOS) -> DataFrame:
     """Whole words in their listed case. As a match has the case of the rule, so has its replacement: capitals throughout,
     a capital first, or as listed."""
-    import re
-
     def cased(wrong: str, right: str) -> str:
         return right.upper() if wrong.isupper() else right[:1].upper() + right[1:] if wrong[:1].isupper() else right
 

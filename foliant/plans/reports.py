@@ -103,8 +103,19 @@ def rule_report(docs: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
     """One row of a pass of pattern rules: patterns checked, patterns with matches, corrections, and characters before and
     after."""
     rules = list(rules)
-    counts = rewrite.pattern_counts(docs, rules).agg(F.count(F.lit(1)).alias("n_matched"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_corrections"))
-    size = lambda df, name: df.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias(name))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    if rewrite.known_literals(rules):  # one pass
+        before = F.length(F.coalesce("text", F.lit(""))).cast("long")
+        rows = docs.select(before.alias("b"), rewrite.applied(F.col("text"), rules).alias("a"))
+        first = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("n"), F.col("b").alias("b"), F.length("a.t").cast("long").alias("a"))
+        none = F.lit(0).cast("long")
+        rest = F.transform("a.c", lambda x: F.struct(x["k"].alias("k"), x["n"].alias("n"), none.alias("b"), none.alias("a")))
+        sums = rows.select(F.inline(F.concat(F.array(first), rest))).groupBy("k").agg(*(F.sum(c).alias(c) for c in "nba"))
+        matched = F.count_if(F.col("k") > 0).alias("n_matched")
+        out = sums.agg(matched, total("n").alias("n_corrections"), total("b").alias("size_before"), total("a").alias("size_after"))
+        return out.select(F.lit(len(rules)).cast("long").alias("n_checked"), "n_matched", "n_corrections", "size_before", "size_after")
+    counts = rewrite.pattern_counts(docs, rules).agg(F.count(F.lit(1)).alias("n_matched"), total("n").alias("n_corrections"))
+    size = lambda df, name: df.agg(total(F.length("text")).alias(name))
     sizes = size(docs, "size_before").crossJoin(size(rewrite.pattern_rules(docs, rules), "size_after"))  # single rows
     return counts.crossJoin(sizes).select(F.lit(len(rules)).cast("long").alias("n_checked"), "n_matched", "n_corrections", "size_before", "size_after")
 
