@@ -69,6 +69,13 @@ def correct_depth(docs: DataFrame, max_depth: int = MAX_DEPTH, hierarchy: bool =
     return df.select(*docs.columns)
 
 
+def n_corrections(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``docs`` with n_corrections: how many rows ``corrections`` has for it."""
+    pairs = F.zip_with("hs", "lv", lambda h, v: (h["v"] != v).cast("long") + (v > max_depth).cast("long"))
+    df = _with_levels(docs, max_depth, True).withColumn("n_corrections", F.aggregate(pairs, F.lit(0).cast("long"), lambda a, n: a + n))
+    return df.select(*docs.columns, "n_corrections")
+
+
 def corrections(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(doc_id, line_no, original_level, level, action): what ``correct_depth`` logs; action is hierarchy_corrected or
     converted_to_bold."""

@@ -7,7 +7,7 @@ regrouping the lines reuses.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,10 +92,10 @@ def map_lines(docs: DataFrame, change: Callable[[Column], Column], mode: str = "
     return docs.withColumn("text", F.array_join(kept, "\n"))
 
 
-def to_lines(docs: DataFrame, mode: str = "split") -> DataFrame:
-    """(doc_id, line_no, line), line numbers from 1."""
-    found = docs.select("doc_id", F.posexplode(split_lines(F.col("text"), mode)).alias("at", "line"))
-    return found.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+def to_lines(docs: DataFrame, mode: str = "split", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, line_no, line), line numbers from 1, and the columns ``keep``."""
+    found = docs.select("doc_id", *keep, F.posexplode(split_lines(F.col("text"), mode)).alias("at", "line"))
+    return found.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line", *keep)
 
 
 def beside(docs: DataFrame, mode: str = "split", before: int = 1, after: int = 2) -> DataFrame:
@@ -115,10 +115,11 @@ def beside(docs: DataFrame, mode: str = "split", before: int = 1, after: int = 2
     return found.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "s.line", "s.prev", "s.next", "s.next2", "n_lines")
 
 
-def to_docs(lines: DataFrame) -> DataFrame:
-    """(doc_id, text) from lines in order of line_no."""
+def to_docs(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text) from lines in order of line_no, and the columns ``keep``, which all lines of a document have alike."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    kept = [F.max(c).alias(c) for c in keep]
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"), *kept)
 
 
 def join_pairs(lines: DataFrame, pred: Column, joined: Column, over: str = "all", drop_after_tail: bool = False) -> DataFrame:
@@ -129,8 +130,9 @@ def join_pairs(lines: DataFrame, pred: Column, joined: Column, over: str = "all"
     enough. ``over``: next is the next line (``all``) or the next line that isn't blank (``nonblank``); then blank lines
     after a head are dropped, and with ``drop_after_tail`` those after the line it took, too.
 
-    Adds ``head``: true where a pair was joined.
+    Adds ``head``: true where a pair was joined. Other columns are kept.
     """
+    keep = [c for c in lines.columns if c not in ("doc_id", "line_no", "line", "head")]
     w = Window.partitionBy("doc_id").orderBy("line_no")
     back = Window.partitionBy("doc_id").orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -159,4 +161,4 @@ def join_pairs(lines: DataFrame, pred: Column, joined: Column, over: str = "all"
             df = df.withColumn("after_tail", after_tail)
             gone = gone | (~F.col("counts") & F.col("after_tail"))
         df = df.withColumn("gone", gone)
-    return df.where(~F.col("gone")).select("doc_id", "line_no", F.when(F.col("head"), joined).otherwise(F.col("line")).alias("line"), "head")
+    return df.where(~F.col("gone")).select("doc_id", "line_no", F.when(F.col("head"), joined).otherwise(F.col("line")).alias("line"), "head", *keep)

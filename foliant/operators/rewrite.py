@@ -34,11 +34,15 @@ def remove_images(docs: DataFrame) -> DataFrame:
     return map_lines(docs, change)
 
 
-def image_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_images). An image does not span lines."""
+def n_images(text: Column) -> Column:
+    """An image does not span lines."""
     per_line = lambda x: T.count(x, IMAGE) + T.count(T.sub(x, IMAGE, ""), HTML_IMAGE, True)
-    counts = F.transform(split_lines(F.col("text")), per_line)
-    return docs.select("doc_id", F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n).alias("n_images"))
+    return F.aggregate(F.transform(split_lines(text), per_line), F.lit(0).cast("long"), lambda a, n: a + n)
+
+
+def image_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_images)."""
+    return docs.select("doc_id", n_images(F.col("text")).alias("n_images"))
 
 
 def is_quote(x: Column) -> Column:
@@ -80,17 +84,22 @@ def literal_rules(docs: DataFrame, rules: Iterable[tuple[str, str]] = V.OCR_BASE
     return map_text(docs, change)
 
 
-def literal_counts(docs: DataFrame, rules: Iterable[tuple[str, str]] = V.OCR_BASE) -> DataFrame:
-    """(rule_no, rule, n): how often each rule matched, counted as its turn came, over all documents."""
-    rules = list(rules)
+def n_literal(text: Column, rules: Iterable[tuple[str, str]] = V.OCR_BASE) -> Column:
+    """An array: how often each rule matches, counted as its turn comes."""
     table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules))
-    start = F.struct(F.coalesce("text", F.lit("")).alias("t"), F.array().cast("array<bigint>").alias("c"))
+    start = F.struct(F.coalesce(text, F.lit("")).alias("t"), F.array().cast("array<bigint>").alias("c"))
 
     def step(acc: Column, r: Column) -> Column:
         n = ((F.length(acc["t"]) - F.length(F.replace(acc["t"], r["a"], F.lit("")))) / F.length(r["a"])).cast("bigint")
         return F.struct(F.replace(acc["t"], r["a"], r["b"]).alias("t"), F.concat(acc["c"], F.array(n)).alias("c"))
 
-    counts = docs.select(F.aggregate(table, start, step, lambda acc: acc["c"]).alias("c")).select(F.posexplode("c").alias("k", "n"))
+    return F.aggregate(table, start, step, lambda acc: acc["c"])
+
+
+def literal_counts(docs: DataFrame, rules: Iterable[tuple[str, str]] = V.OCR_BASE) -> DataFrame:
+    """(rule_no, rule, n): how often each rule matched, counted as its turn came, over all documents."""
+    rules = list(rules)
+    counts = docs.select(n_literal(F.col("text"), rules).alias("c")).select(F.posexplode("c").alias("k", "n"))
     names = F.array(*(F.lit(a) for a, _ in rules))
     total = counts.groupBy("k").agg(F.sum("n").alias("n")).where("n > 0")
     return total.select((F.col("k") + 1).cast("long").alias("rule_no"), F.get(names, F.col("k")).alias("rule"), "n")

@@ -7,7 +7,7 @@ without a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -93,21 +93,22 @@ def tables_to_tsv(text: str) -> tuple[str, int]:
     return "\n".join(out) + "\n" * text.endswith("\n"), n
 
 
-def _scan(docs: DataFrame, change: Callable[[str], tuple[str, int]], count: str) -> DataFrame:
+def _scan(docs: DataFrame, change: Callable[[str], tuple[str, int]], count: str, keep: Sequence[str] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [change(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([t for t, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], ["doc_id", "text", count]
+                [b.column("doc_id"), pa.array([t for t, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64()), *map(b.column, keep)], ["doc_id", "text", count, *keep]
             )
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, {count} long")
+    rows = docs.select("doc_id", "text", *keep)
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, {count} long", *kinds]))
 
 
-def fix_prices(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_changes)."""
-    return _scan(docs, mend_prices, "n_changes")
+def fix_prices(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, n_changes), and the columns ``keep``."""
+    return _scan(docs, mend_prices, "n_changes", keep)
 
 
 def inline_tables(docs: DataFrame) -> DataFrame:

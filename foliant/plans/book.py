@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliant.operators import breaks, detect, headers, rewrite, spell, tables, toc
-from foliant.operators.lines import to_docs, to_lines
+from foliant.operators.lines import split_lines, to_docs, to_lines
 
 
 @dataclass(frozen=True)
@@ -71,35 +73,42 @@ def quality_report(docs: DataFrame, config: BookConfig = BookConfig()) -> DataFr
 
 
 def step_summary(docs: DataFrame, config: BookConfig = BookConfig()) -> DataFrame:
-    """(step, metric, n): what each step of ``clean_book`` changes, over all documents. Lazy, and nothing is kept: each metric
-    reads the documents anew."""
-    metric = lambda df, step, col: df.agg(F.coalesce(F.sum(col), F.lit(0)).cast("long").alias("n")).select(F.lit(step).alias("step"), F.lit(col).alias("metric"), "n")
-    df = toc.plain_toc(docs.select("doc_id", "text"))
-    out = [metric(df, "1_toc", "n_changes")]
-    df = df.drop("n_changes")
-    out.append(metric(rewrite.image_counts(df), "2_images", "n_images"))
-    df = rewrite.remove_images(df)
-    out.append(rewrite.quote_stats(df).select(F.lit("3_quotes").alias("step"), F.lit("n_removed").alias("metric"), F.col("n_removed").alias("n")))
-    df = detect.remove_page_numbers(rewrite.remove_quotes(df))
-    out.append(metric(df, "4_page_numbers", "n_removed"))
-    lines = to_lines(df)
+    """(step, metric, n): what each step of ``clean_book`` changes, over all documents. Lazy, in one pass: each step leaves
+    its count beside the text, and the counts are added up at the end."""
+    # doc_id, text and counts by "step metric"
+    df = toc.plain_toc(docs.select("doc_id", "text")).withColumnRenamed("n_changes", "1_toc n_changes")
+    df = rewrite.remove_images(df.withColumn("2_images n_images", rewrite.n_images(F.col("text"))))
+    quoted = F.size(F.filter(split_lines(F.col("text")), rewrite.is_quote)).cast("long")
+    df = rewrite.remove_quotes(df.withColumn("3_quotes n_removed", quoted))
+    df = detect.remove_page_numbers(df).withColumnRenamed("n_removed", "4_page_numbers n_removed")
+    names = df.columns[2:]
+    lines = to_lines(df, keep=names)
+    own = Window.partitionBy("doc_id")
+    # of the rows that share a doc_id, which are one document from here on, each has its counts on its first line
+    lines = lines.withColumns({c: F.sum(F.when(F.col("line_no") == 1, F.col(c)).otherwise(0)).over(own) for c in names})
+
+    def joined(lines: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+        names.append(f"{name} joins")
+        # counted at once, as a later step may take a joined line into another
+        return step(lines).withColumn(names[-1], F.sum(F.col("head").cast("long")).over(own)).drop("head")
+
     for name, step in (("sentences", breaks.join_broken_sentences), ("hyphens", breaks.join_hyphens), ("blanks", breaks.join_across_blanks)):
-        joined = step(lines)
-        out.append(metric(joined.select(F.col("head").cast("int").alias("joins")), f"5_{name}", "joins"))
-        lines = joined.select("doc_id", "line_no", "line")
-    df = to_docs(lines)
-    fixes = headers.corrections(df, config.max_header_depth).select(F.lit(1).alias("corrections"))
-    out.append(metric(fixes, "6_headers", "corrections"))
-    joined = breaks.join_cleanup(to_lines(headers.correct_depth(df, config.max_header_depth)))
-    out.append(metric(joined.select(F.col("head").cast("int").alias("joins")), "8_cleanup", "joins"))
-    df = tables.fix_prices(to_docs(joined))
-    out.append(metric(df, "9_prices", "n_changes"))
-    out.append(metric(rewrite.literal_counts(df), "10a_ocr_base", "n"))
-    out.append(metric(rewrite.pattern_counts(rewrite.literal_rules(df), rewrite.additional_rules()), "10b_ocr_additional", "n"))
-    total = out[0]
-    for o in out[1:]:
-        total = total.union(o)
-    return total
+        lines = joined(lines, step, f"5_{name}")
+    names.append("6_headers corrections")
+    df = headers.n_corrections(to_docs(lines, names[:-1]), config.max_header_depth).withColumnRenamed("n_corrections", names[-1])
+    lines = to_lines(headers.correct_depth(df, config.max_header_depth), keep=names)
+    df = to_docs(joined(lines, breaks.join_cleanup, "8_cleanup"), names)
+    df = tables.fix_prices(df, names).withColumnRenamed("n_changes", "9_prices n_changes")
+    added = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, n: a + n)
+    df = df.withColumn("10a_ocr_base n", added(rewrite.n_literal(F.col("text"))))
+    rules = rewrite.additional_rules()
+    df = rewrite.literal_rules(df)
+    found = rewrite.applied(F.col("text"), rules)
+    df = df.withColumn("10b_ocr_additional n", added(F.transform(found["c"], lambda x: x["n"])))
+    names += ["9_prices n_changes", "10a_ocr_base n", "10b_ocr_additional n"]
+    sums = df.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names))
+    rows = F.array(*(F.struct(*(F.lit(x).alias(y) for x, y in zip(c.split(" "), ("step", "metric"))), F.col(f"`{c}`").alias("n")) for c in names))
+    return sums.select(F.inline(rows))
 
 
 def second_ocr_pass(docs: DataFrame) -> DataFrame:
