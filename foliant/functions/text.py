@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 EXACT, ANY_CASE = "(?dU)", "(?diuU)"
 
 
+#: What ``\\s`` covers.
+SPACES = " \t\n\x0b\f\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+", "")
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def blank(c: Column) -> Column:
-    return strip(c) == ""
+    return ~F.substring(c, 1, 1).between("!", "~") & (lstrip(c) == "")
 
 
 def words(c: Column) -> Column:
@@ -38,6 +42,11 @@ def word_count(c: Column) -> Column:
     return F.size(words(c))
 
 
+def more_words(c: Column, n: int) -> Column:
+    """Whether there are more than ``n`` words; looks no further."""
+    return has(c, rf"^\s*+(?:\S++\s++){{{n}}}\S")
+
+
 def starts_with(c: Column, *prefixes: str) -> Column:
     out = F.lit(False)
     for p in prefixes:

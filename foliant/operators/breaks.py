@@ -12,15 +12,26 @@ from foliant.operators.lines import join_pairs, split_lines, to_lines
 
 
 def _structural(x: Column) -> Column:
-    return T.starts_with(x, "#", "**", "|") | T.starts_with(T.strip(x), "-", "*")
+    return T.starts_with(x, "#", "**", "|") | T.has(x, r"^\s*+[-*]")
+
+
+def _by_letter(words: list[str]) -> str:
+    """Any of the words, which are plain: those of a letter are tried only after it."""
+    firsts = dict.fromkeys(w[0] for w in words)
+    return T.one_of(*(f + T.one_of(*(w[1:] for w in words if w[0] == f)) for f in firsts))
 
 
 def _ends(x: Column, words: list[str]) -> Column:
-    return T.has(x, rf"\b{T.one_of(*words)}\s*$", True)
+    """The last word is looked for in as many characters as can hold it and the one before it."""
+    return T.has(F.right(T.rstrip(x), F.lit(max(map(len, words)) + 1)), rf"\b{_by_letter(words)}$", True)
 
 
 def _begins(x: Column, words: list[str]) -> Column:
-    return T.has(x, rf"^\s*{T.one_of(*words)}\b", True)
+    return T.has(x, rf"^\s*{_by_letter(words)}\b", True)
+
+
+def _hyphen(x: Column) -> Column:
+    return x.contains("-") & T.rstrip(x).endswith("-")
 
 
 def _spaced() -> Column:
@@ -29,22 +40,23 @@ def _spaced() -> Column:
 
 def join_broken_sentences(lines: DataFrame) -> DataFrame:
     """Lines that end unfinished, or whose next line (blank ones aside) goes on with the sentence, take it in."""
-    short = (T.word_count(F.col("line")) <= 2) & ~T.strip(F.col("line")).endswith(":") & (T.word_count(F.col("next")) > 2)
-    goes_on = _ends(F.col("line"), V.UNFINISHED_ENDINGS) | T.has(F.col("line"), r"-\s*$") | _begins(F.col("next"), V.CONTINUING_STARTS_1 + V.CONTINUING_STARTS_2) | short
+    short = ~T.more_words(F.col("line"), 2) & ~T.rstrip(F.col("line")).endswith(":") & T.more_words(F.col("next"), 2)
+    goes_on = _hyphen(F.col("line")) | _ends(F.col("line"), V.UNFINISHED_ENDINGS) | _begins(F.col("next"), V.CONTINUING_STARTS_1 + V.CONTINUING_STARTS_2) | short
     return join_pairs(lines, ~_structural(F.col("line")) & ~_structural(F.col("next")) & goes_on, _spaced(), "nonblank", drop_after_tail=True)
 
 
 def join_hyphens(lines: DataFrame) -> DataFrame:
     """A line that ends with a hyphen takes in the next one, without a space; the hyphen stays."""
-    pred = T.has(F.col("line"), r"-\s*$") & ~T.blank(F.col("next")) & ~T.starts_with(F.col("next"), "#", "**", "|")
+    pred = _hyphen(F.col("line")) & ~T.blank(F.col("next")) & ~T.starts_with(F.col("next"), "#", "**", "|")
     return join_pairs(lines, pred, F.concat(T.rstrip(F.col("line")), T.lstrip(F.col("next"))))
 
 
 def join_across_blanks(lines: DataFrame) -> DataFrame:
     """A sentence that blank lines have parted is joined."""
-    opened = ~T.has(F.col("line"), r"[.!?:;]\s*$") & ~T.strip(F.col("line")).endswith(",") & (T.word_count(F.col("line")) > 3)
+    end = F.right(T.rstrip(F.col("line")), F.lit(1))
+    opened = ~end.isin(*".!?:;,") & T.more_words(F.col("line"), 3)
     goes_on = T.has(F.col("next"), r"^\s*[a-z]") | _begins(F.col("next"), V.RESUMING_STARTS) | _ends(F.col("line"), V.MID_THOUGHT_ENDINGS)
-    pred = ~_structural(F.col("line")) & ~_structural(F.col("next")) & opened & (F.col("gap") > 0) & goes_on
+    pred = (F.col("gap") > 0) & ~_structural(F.col("line")) & ~_structural(F.col("next")) & opened & goes_on
     return join_pairs(lines, pred, _spaced(), "nonblank")
 
 

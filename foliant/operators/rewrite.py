@@ -15,6 +15,10 @@ from foliant.operators.lines import let, map_lines, map_text, split_lines
 IMAGE, HTML_IMAGE = r"!\[.*?\]\([^)]*\)", r"<img[^>]*>"
 
 
+#: Rules that matched, with the number of their matches.
+COUNTS = "array<struct<k:bigint,n:bigint>>"
+
+
 def remove_daggers(docs: DataFrame) -> DataFrame:
     """Adds n_removed."""
     text = F.coalesce("text", F.lit(""))
@@ -27,16 +31,21 @@ def remove_images(docs: DataFrame) -> DataFrame:
     """Images go, lines are stripped. A line that ends up empty stays only if it held something else than an image."""
 
     def change(x: Column) -> Column:
-        out = T.strip(T.sub(T.sub(T.sub(x, IMAGE, ""), HTML_IMAGE, "", True), " {2,}", " "))
-        stays = (out != "") | ((x != "") & ~T.has(x, r"^\s*" + IMAGE + r"\s*$"))
-        return F.when(stays, out)
+        bare = let(_without_images(x), lambda b: F.when(b.contains("<"), T.sub(b, HTML_IMAGE, "", True)).otherwise(b))
+        out = T.strip(let(bare, lambda b: F.when(b.contains("  "), T.sub(b, " {2,}", " ")).otherwise(b)))
+        return let(out, lambda o: F.when((o != "") | ((x != "") & ~T.has(x, r"^\s*" + IMAGE + r"\s*$")), o))
 
     return map_lines(docs, change)
 
 
+def _without_images(x: Column) -> Column:
+    return F.when(x.contains("!["), T.sub(x, IMAGE, "")).otherwise(x)
+
+
 def n_images(text: Column) -> Column:
     """An image does not span lines."""
-    per_line = lambda x: T.count(x, IMAGE) + T.count(T.sub(x, IMAGE, ""), HTML_IMAGE, True)
+    none = F.lit(0).cast("long")
+    per_line = lambda x: F.when(x.contains("!["), T.count(x, IMAGE)).otherwise(none) + F.when(x.contains("<"), T.count(_without_images(x), HTML_IMAGE, True)).otherwise(none)
     return F.aggregate(F.transform(split_lines(text), per_line), F.lit(0).cast("long"), lambda a, n: a + n)
 
 
@@ -46,7 +55,7 @@ def image_counts(docs: DataFrame) -> DataFrame:
 
 
 def is_quote(x: Column) -> Column:
-    return T.strip(x).startswith(">")
+    return T.has(x, r"^\s*+>")
 
 
 def remove_quotes(docs: DataFrame) -> DataFrame:
@@ -76,33 +85,29 @@ def tags_to_headings(docs: DataFrame) -> DataFrame:
 def literal_rules(docs: DataFrame, rules: Iterable[tuple[str, str]] = V.OCR_BASE) -> DataFrame:
     """Ordered literal replacements, wherever they occur."""
 
-    def change(text: Column) -> Column:
-        for wrong, right in rules:
-            text = F.replace(text, F.lit(wrong), F.lit(right))
-        return text
+    return docs.withColumn("text", replaced(F.col("text"), rules)["t"])
 
-    return map_text(docs, change)
 
+def replaced(text: Column, rules: Iterable[tuple[str, str]] = V.OCR_BASE) -> Column:
+    """As ``applied``, of literal replacements."""
+    table = F.array(*(F.struct(F.lit(k + 1).cast("long").alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(rules)))
+    start = F.struct(F.coalesce(text, F.lit("")).alias("t"), F.array().cast(COUNTS).alias("c"))
 
-def n_literal(text: Column, rules: Iterable[tuple[str, str]] = V.OCR_BASE) -> Column:
-    """An array: how often each rule matches, counted as its turn comes."""
-    table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules))
-    start = F.struct(F.coalesce(text, F.lit("")).alias("t"), F.array().cast("array<bigint>").alias("c"))
-
-    def step(acc: Column, r: Column) -> Column:
-        n = ((F.length(acc["t"]) - F.length(F.replace(acc["t"], r["a"], F.lit("")))) / F.length(r["a"])).cast("bigint")
-        return F.struct(F.replace(acc["t"], r["a"], r["b"]).alias("t"), F.concat(acc["c"], F.array(n)).alias("c"))
+    def changed(acc: Column, r: Column) -> Column:
+        n = (F.octet_length(acc["t"]) - F.octet_length(F.replace(acc["t"], r["a"], F.lit("")))).cast("long")
+        own = F.struct(r["k"].alias("k"), F.floor(n / F.octet_length(r["a"])).alias("n"))
+        return F.struct(F.replace(acc["t"], r["a"], r["b"]).alias("t"), F.concat(acc["c"], F.array(own)).alias("c"))
 
-    return F.aggregate(table, start, step, lambda acc: acc["c"])
+    return F.aggregate(table, start, lambda acc, r: F.when(F.contains(acc["t"], r["a"]), changed(acc, r)).otherwise(acc))
 
 
 def literal_counts(docs: DataFrame, rules: Iterable[tuple[str, str]] = V.OCR_BASE) -> DataFrame:
     """(rule_no, rule, n): how often each rule matched, counted as its turn came, over all documents."""
     rules = list(rules)
-    counts = docs.select(n_literal(F.col("text"), rules).alias("c")).select(F.posexplode("c").alias("k", "n"))
+    counts = docs.select(F.explode(replaced(F.col("text"), rules)["c"]).alias("s"))
     names = F.array(*(F.lit(a) for a, _ in rules))
-    total = counts.groupBy("k").agg(F.sum("n").alias("n")).where("n > 0")
-    return total.select((F.col("k") + 1).cast("long").alias("rule_no"), F.get(names, F.col("k")).alias("rule"), "n")
+    total = counts.groupBy("s.k").agg(F.sum("s.n").alias("n"))
+    return total.select(F.col("k").alias("rule_no"), F.get(names, (F.col("k") - 1).cast("int")).alias("rule"), "n")
 
 
 #: Rules that are tried together: where none of them matches, none is applied.
@@ -121,25 +126,37 @@ def literal(pattern: str) -> str | None:
 
 
 def known_literals(rules: list[tuple[str, str]]) -> bool:
-    return bool(rules) and all(literal(p) for p, _ in rules)
+    return bool(rules) and all(literal(p) and "\\" not in to for p, to in rules)
+
+
+def _near(pattern: str) -> str | None:
+    """What a text holds besides wherever a mark's pattern matches; null for words."""
+    mark = re.escape(literal(pattern))
+    return None if pattern.startswith(r"\b") else rf"(?U){mark}(?<=\s{mark})\s"
+
+
+def _quick(pattern: str) -> str:
+    """The same pattern, which looks for its word's first letter before the boundary."""
+    return T.ANY_CASE + (f"(?={re.escape(literal(pattern)[0])})" if pattern.startswith(r"\b") else "") + pattern
 
 
 def applied(text: Column, rules: list[tuple[str, str]]) -> Column:
     """A struct of the text after all rules, in order and without regard to case (t), and of the rules that matched, with the
     number of their matches as their turn came (c: k from 1, n). All rules have a literal; where the text doesn't hold it as
     the rule's turn comes, the pattern isn't tried, as it couldn't match."""
-    table = F.array(*(F.struct(F.lit(k + 1).cast("long").alias("k"), F.lit(literal(p)).alias("has"), F.lit(T.ANY_CASE + p).alias("p"), F.lit(T.java_replacement(to)).alias("to")) for k, (p, to) in enumerate(rules)))
+    table = F.array(*(F.struct(F.lit(k + 1).cast("long").alias("k"), F.lit(literal(p)).alias("has"), F.lit(_near(p)).cast("string").alias("near"), F.lit(_quick(p)).alias("p"), F.lit(to).alias("to")) for k, (p, to) in enumerate(rules)))
     whole = F.coalesce(text, F.lit(""))
-    start = F.struct(whole.alias("t"), F.lower(whole).alias("low"), whole.rlike(ODD_CASES).alias("odd"), F.array().cast("array<struct<k:bigint,n:bigint>>").alias("c"))
+    start = F.struct(whole.alias("t"), F.lower(whole).alias("low"), whole.rlike(ODD_CASES).alias("odd"), F.array().cast(COUNTS).alias("c"))
 
     def changed(acc: Column, r: Column) -> Column:
-        n = F.regexp_count(acc["t"], r["p"]).cast("long")
-        made = F.struct(n.alias("n"), F.regexp_replace(acc["t"], r["p"], r["to"]).alias("t"))
+        parts = F.split(acc["t"], r["p"], -1)  # what stands between the matches
+        made = let(parts, lambda ps: F.struct((F.size(ps) - 1).cast("long").alias("n"), F.when(F.size(ps) > 1, F.call_function("array_join", ps, r["to"])).alias("t")))
         put = lambda m: F.struct(m["t"].alias("t"), F.lower(m["t"]).alias("low"), acc["odd"].alias("odd"), F.concat(acc["c"], F.array(F.struct(r["k"].alias("k"), m["n"].alias("n")))).alias("c"))
         return let(made, lambda m: F.when(m["n"] > 0, put(m)).otherwise(acc))
 
     def step(acc: Column, r: Column) -> Column:
-        return F.when(acc["odd"] | F.contains(acc["low"], r["has"]), changed(acc, r)).otherwise(acc)
+        may = F.contains(acc["low"], r["has"]) & (r["near"].isNull() | F.rlike(acc["t"], r["near"]))
+        return F.when(acc["odd"] | may, changed(acc, r)).otherwise(acc)
 
     return F.aggregate(table, start, step, lambda acc: F.struct(acc["t"].alias("t"), acc["c"].alias("c")))
 

@@ -39,8 +39,15 @@ def _price_step(line: str, later: list[str]) -> tuple[str, int] | None:
 
 def mend_prices(text: str) -> tuple[str, int]:
     """The text with parted price lines joined, and the number of joins and of lines to look at by hand."""
+    if "gp" not in text:  # no price
+        return text, 0
     lines, out, changes, at = text.split("\n"), [], 0, 0
+    priced = ["gp" in x for x in lines] + [False]
     while at < len(lines):
+        if not (priced[at] or priced[at + 1]):
+            out.append(lines[at])
+            at += 1
+            continue
         line, later = lines[at], [x.strip() for x in lines[at + 1 : at + 3]]
         step = _price_step(line, later)
         first = later and PRICE_END.search(line.strip()) and PER_POINT.search(later[0])
@@ -93,27 +100,41 @@ def tables_to_tsv(text: str) -> tuple[str, int]:
     return "\n".join(out) + "\n" * text.endswith("\n"), n
 
 
-def _scan(docs: DataFrame, change: Callable[[str], tuple[str, int]], count: str, keep: Sequence[str] = ()) -> DataFrame:
+def _scan(docs: DataFrame, change: Callable[[str], tuple], counts: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [change(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([t for t, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64()), *map(b.column, keep)], ["doc_id", "text", count, *keep]
-            )
+            own = [pa.array([m[k + 1] for m in made], pa.int64()) for k in range(len(counts))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([m[0] for m in made], pa.string()), *own, *map(b.column, keep)], ["doc_id", "text", *counts, *keep])
 
     rows = docs.select("doc_id", "text", *keep)
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, {count} long", *kinds]))
+    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string", *(f"`{c}` long" for c in counts), *kinds]))
 
 
 def fix_prices(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, text, n_changes), and the columns ``keep``."""
-    return _scan(docs, mend_prices, "n_changes", keep)
+    return _scan(docs, mend_prices, ["n_changes"], keep)
+
+
+def fix_prices_and_words(docs: DataFrame, rules: Sequence[tuple[str, str]], keep: Sequence[str] = ()) -> DataFrame:
+    """``fix_prices``, then ordered literal replacements in the same pass: (doc_id, text, n_changes, n_replaced), and the
+    columns ``keep``."""
+
+    def change(text: str) -> tuple[str, int, int]:
+        (text, changes), n = mend_prices(text), 0
+        for wrong, right in rules:
+            if wrong in text:
+                n += text.count(wrong)
+                text = text.replace(wrong, right)
+        return text, changes, n
+
+    return _scan(docs, change, ["n_changes", "n_replaced"], keep)
 
 
 def inline_tables(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_tables)."""
-    return _scan(docs, tables_to_tsv, "n_tables")
+    return _scan(docs, tables_to_tsv, ["n_tables"])
 
 
 def needs_ocr(n_bytes: Column, pages: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators.lines import map_regions, split_lines
+from foliant.operators.lines import let, map_regions, split_lines
 
 #: Markers of a table of contents and of its end (fixed values).
 MARKERS = ("## Table Of Contents", "# Table Of Contents", "Table Of Contents")
@@ -33,11 +33,11 @@ def plain_toc(docs: DataFrame, width: int = 70) -> DataFrame:
     """``docs`` with the plain table of contents set in dotted lines, and n_changes. Without a marker or an end the text
     stays as it is."""
     df = docs.withColumn("ls", split_lines(F.col("text"), "splitlines"))
-    exact = _first(F.col("ls"), lambda x: T.strip(x).isin(*MARKERS))
-    loose = _first(F.col("ls"), lambda x: F.lower(T.strip(x)) == "table of contents")
+    exact = _first(F.col("ls"), lambda x: x.contains(MARKERS[-1]) & T.strip(x).isin(*MARKERS))
+    loose = _first(F.col("ls"), lambda x: T.has(x, r"^\s*+[tT]") & (F.lower(T.strip(x)) == "table of contents"))
     df = df.withColumn("start", F.coalesce(exact, loose))
     after = F.slice("ls", F.col("start") + 1, F.size("ls"))
-    df = df.withColumn("end", F.when(F.col("start").isNotNull(), F.col("start") + _first(after, lambda x: T.starts_with(T.strip(x), NOTE, *CONTENT_STARTS))))
+    df = df.withColumn("end", F.when(F.col("start").isNotNull(), F.col("start") + _first(after, lambda x: let(T.lstrip(x), lambda s: T.starts_with(s, NOTE, *CONTENT_STARTS)))))
 
     def entry(raw: Column) -> Column:
         s = T.strip(raw)

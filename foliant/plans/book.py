@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.functions import vocab as V
 from foliant.operators import breaks, detect, headers, rewrite, spell, tables, toc
 from foliant.operators.lines import split_lines, to_docs, to_lines
 
@@ -98,14 +99,10 @@ def step_summary(docs: DataFrame, config: BookConfig = BookConfig()) -> DataFram
     df = headers.n_corrections(to_docs(lines, names[:-1]), config.max_header_depth).withColumnRenamed("n_corrections", names[-1])
     lines = to_lines(headers.correct_depth(df, config.max_header_depth), keep=names)
     df = to_docs(joined(lines, breaks.join_cleanup, "8_cleanup"), names)
-    df = tables.fix_prices(df, names).withColumnRenamed("n_changes", "9_prices n_changes")
-    added = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, n: a + n)
-    df = df.withColumn("10a_ocr_base n", added(rewrite.n_literal(F.col("text"))))
-    rules = rewrite.additional_rules()
-    df = rewrite.literal_rules(df)
-    found = rewrite.applied(F.col("text"), rules)
-    df = df.withColumn("10b_ocr_additional n", added(F.transform(found["c"], lambda x: x["n"])))
+    df = tables.fix_prices_and_words(df, V.OCR_BASE, names)
     names += ["9_prices n_changes", "10a_ocr_base n", "10b_ocr_additional n"]
+    found = F.aggregate(rewrite.applied(F.col("text"), rewrite.additional_rules())["c"], F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    df = df.withColumnsRenamed({"n_changes": names[-3], "n_replaced": names[-2]}).withColumn(names[-1], found)
     sums = df.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names))
     rows = F.array(*(F.struct(*(F.lit(x).alias(y) for x, y in zip(c.split(" "), ("step", "metric"))), F.col(f"`{c}`").alias("n")) for c in names))
     return sums.select(F.inline(rows))
